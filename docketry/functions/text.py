@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = r"[ \t\f\v\x{a0}]+"
 #: Sequences that UTF-8 read as Windows-1252 leaves, with what they stand for.
@@ -17,7 +18,7 @@ PHONE = r"(?:\+?1[-. ]?)?\(?[2-9][0-9]{2}\)?[-. ][0-9]{3}[-. ][0-9]{4}"
 INJECTION = ("ignore previous instructions", "ignore all previous", "disregard the above", "system prompt", "you are now", "reveal your")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     """HTML entities as their characters; null stays null."""
     return texts.map(lambda t: html.unescape(t) if isinstance(t, str) else None)
@@ -99,7 +100,7 @@ def bigrams(c: Column) -> Column:
     return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2))))).otherwise(F.array(t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the length of the matching blocks over both lengths; null counts as ''."""
     from difflib import SequenceMatcher
@@ -128,7 +129,7 @@ def injection_marks(c: Column, marks: tuple[str, ...] = INJECTION) -> Column:
 
 def highlight(c: Column, term: Column, before: int = 70, after: int = 90) -> Column:
     """The first place of a term with text around it; null if it is absent."""
-    at = F.locate_in(c, term) if hasattr(F, "locate_in") else F.instr(F.lower(c), F.lower(term))
+    at = F.instr(F.lower(c), F.lower(term))
     start = F.greatest(at - before, F.lit(1))
     return F.when(at > 0, F.substring(c, start, at - start + F.length(term) + after))
 
