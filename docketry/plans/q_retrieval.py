@@ -91,7 +91,7 @@ def r07_fast_two_kinds(t: Tables) -> DataFrame:
 
 @book.add("""WITH t AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+')) AS t FROM canada_laws), c AS (
     SELECT id, CAST(('0x' || substr(sha256(t), 1, 8))::BIGINT % 384 AS INT) AS idx, sum(CASE WHEN ('0x' || substr(sha256(t), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END * (1 + least(length(t), 12) / 12.0::DOUBLE)) AS w FROM t GROUP BY 1, 2),
-    n AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY id)) AS n FROM c) SELECT id, idx, round(w / n, 6) AS weight FROM n WHERE n > 0""")
+    n AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY id)) AS n FROM c) SELECT id, idx, round(round(w / n, 8), 6) AS weight FROM n WHERE n > 0""")
 def r09_hash_embedding(t: Tables) -> DataFrame:
     words = F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     return I.hash_embedding(t.canada_laws, "id", words).withColumn("weight", F.round("weight", 6))
