@@ -29,8 +29,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docketry.runtime import rows_up_to, widen
+from docketry.runtime import checkpoint, rows_up_to, widen
 
 #: Reference rows that one broadcast dictionary may hold (about 6 KB each).
 MAX_REFERENCE = 20_000
@@ -267,15 +268,15 @@ def _scan_all(body: str) -> str:
 class Dictionary:
     """The reference rows as a symmetric-delete dictionary that can be pickled."""
 
-    def __init__(self, rows: Iterable[tuple[int, list[str], list[str]]], linked: dict[int, int] | None = None) -> None:
-        """rows: (id, names, citations); linked: how many rows link to an id already."""
+    def __init__(self, rows: Iterable[tuple[int, list[str], list[str]]], linked: dict[int, int] | None = None, words: Iterable[str] = ()) -> None:
+        """rows: (id, names, citations); linked: how many rows link to an id already; words: known besides the rows' own."""
         self.linked = linked or {}
         self.exact: dict[str, set[int]] = defaultdict(set)
         self.whole: dict[str, set[int]] = defaultdict(set)
         self.cites: dict[str, set[int]] = defaultdict(set)
         self.kinds: dict[int, set[str]] = defaultdict(set)
         self.years: dict[int, set[str]] = defaultdict(set)
-        self.words: set[str] = set()
+        self.words: set[str] = set(words)
         cores: dict[str, set[int]] = defaultdict(set)
         short: dict[str, set[int]] = defaultdict(set)
         for key, names, cites in rows:
@@ -443,6 +444,17 @@ def reference_rows(laws: Iterable) -> list[tuple[int, list[str], list[str]]]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _core_words(titles: pd.Series) -> pd.Series:
+    """The words of each title's core; rows that differ in kind or year have the same."""
+
+    def one(title: str | None) -> list[str]:
+        p = parse(title or "")
+        return p.bodies[min(p.cores, key=lambda c: (p.cores[c], c))].split() if p.cores else []
+
+    return titles.map(one)
+
+
 def map_to_reference(values: DataFrame, reference: DataFrame, key: str, value: str, linked: DataFrame | None = None, max_reference: int = MAX_REFERENCE) -> DataFrame:
     """Map each row of ``values`` to the one reference row its value names.
 
@@ -454,20 +466,24 @@ def map_to_reference(values: DataFrame, reference: DataFrame, key: str, value: s
     any length is parsed whole. An empty reference list leaves every value
     unmatched. Columns besides key and value are ignored, whatever their names.
     """
-    rows = values.select(F.col(key).alias("_key"), F.col(value).cast("string").alias("_value")).filter(F.regexp_replace(F.col("_value"), r"[\s\x{a0}\x{3000}\x{200b}]+", "") != "")
+    rows = values.select(F.col(key).cast("bigint").alias("_key"), F.col(value).cast("string").alias("_value")).filter(F.regexp_replace(F.col("_value"), r"[\s\x{a0}\x{3000}\x{200b}]+", "") != "")
     rows = widen(rows)
     columns = reference.select("id", "title", "normalized_title", "citation", "aliases_json")
     counts = {r["law_id"]: r["n"] for r in (rows_up_to(linked.select("law_id", "n"), max_reference) or [])} if linked is not None else {}
     whole = rows_up_to(columns, max_reference)
+    words: list[str] = []
     if whole is not None:
         blocks = [whole]
     else:
-        n = -(-columns.count() // max_reference) * 2
-        blocks = (columns.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == i).collect() for i in range(n))
+        # rows that share a core go into one block, as kind and year must choose among them
+        keyed = checkpoint(columns.withColumn("_core", _core_words("title")))
+        words = [r["w"] for r in keyed.select(F.explode("_core").alias("w")).distinct().collect()]
+        n = -(-keyed.count() // max_reference) * 2
+        blocks = (keyed.filter(F.pmod(F.xxhash64("_core"), F.lit(n)) == i).collect() for i in range(n))
     spark = values.sparkSession
     found = None
     for block in blocks:
-        shipped = spark.sparkContext.broadcast(Dictionary(reference_rows(block), counts))
+        shipped = spark.sparkContext.broadcast(Dictionary(reference_rows(block), counts, words))
 
         def look(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
             d = shipped.value

@@ -128,7 +128,7 @@ def implausible(text: str, left: str = " ", right: str = " ") -> float:
         elif k == "q":
             total += 2.0 if c not in "’‘·–—" and a in "luLU" and b in "luLU" else 0.0
         elif k == "b":
-            total += 3.0 if a in "luLUs" or b in "lLUs" else 0.0
+            total += 3.0 if a in "luLUs" or b in "lLUs" else -0.5
         elif k in "gc":
             total += 3.0 if a in "luLU" else 0.0
             total += 3.0 if b in "luLU" else 0.0
@@ -232,6 +232,8 @@ def _calm(run: str, left: str, right: str) -> bool:
             return False
         costs = [_kind(c)[1] for c in run]
         return sum(costs) <= 0.45 * len(run) + 0.9 and max(costs) <= 1.2
+    if all(_kind(c)[0] == "b" for c in run):
+        return not {_kind(left)[0], _kind(right)[0]} & set("luLU")
     if run.isalpha() and len(run) > 2:
         kinds = {_kind(c)[0] for c in run}
         return len(kinds) == 1 and kinds <= {"g", "c"} and _kind(left)[0] not in "lu" and _kind(right)[0] not in "lu"

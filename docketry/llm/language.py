@@ -350,7 +350,8 @@ def languages_of(docs: DataFrame, model: Model, key: str, text: str = "text", la
                     out.append((keys[i], -1, m.languages[main], sure, declared, int(sizes[s].sum())))
                     if got.min() != got.max():
                         out += [(keys[i], j, m.languages[x], float(c), declared, len(parts[j])) for j, (x, c) in enumerate(zip(got.tolist(), each))]
-                yield pd.DataFrame(out, columns=columns).astype({"seg_no": "int32", "confidence": "float64", "n_chars": "int64"})
+                if out:
+                    yield pd.DataFrame(out, columns=columns).astype({"seg_no": "int32", "confidence": "float64", "n_chars": "int64"})
 
     kind = dict(picked.dtypes)["_key"]
     found = picked.mapInPandas(look, f"_key {kind}, seg_no int, lang string, confidence double, declared string, n_chars bigint")

@@ -103,7 +103,8 @@ def signatures(rows: DataFrame, key: str, text, width: int = SHINGLE, least: int
                     ids.append(i)
                     classes.append(xxhash.xxh3_128_digest(h.tobytes()))
                     sigs.append(signature(h))
-            yield pd.DataFrame({"_id": ids, "_class": classes, "_sig": sigs})
+            if ids:
+                yield pd.DataFrame({"_id": ids, "_class": classes, "_sig": sigs})
 
     return picked.mapInPandas(look, f"_id {dict(picked.dtypes)['_id']}, _class binary, _sig array<bigint>")
 

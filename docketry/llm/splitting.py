@@ -126,7 +126,8 @@ def split_text(rows: DataFrame, keys: list[str], column: str, limit: int, overla
                     out["_end"].append(base + cut)
                     out["piece"].append(text[begin - lead : cut])
                     begin = cut
-            yield pd.DataFrame(out)
+            if out["_no"]:
+                yield pd.DataFrame(out)
 
     kinds = dict(picked.dtypes)
     schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", _row string, _range int, _no int, _begin bigint, _end bigint, piece string"
@@ -196,7 +197,8 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
                     lead = overlap if no or k else 0
                     out.append((path, k, len(own_text), no, begin - lead - here, cut - begin + lead, text[begin - lead : cut]))
                     begin = cut
-            yield pd.DataFrame(out, columns=["path", "_range", "_chars", "_no", "_begin", "length", "piece"])
+            if out:
+                yield pd.DataFrame(out, columns=["path", "_range", "_chars", "_no", "_begin", "length", "piece"])
 
     pieces = ranges.repartition(n, "path", "_range").mapInPandas(work, "path string, _range bigint, _chars bigint, _no int, _begin bigint, length int, piece string")
     table = pieces.groupBy("path", "_range").agg((F.max("_no") + 1).alias("_n"), F.max("_chars").alias("_chars"))

@@ -31,6 +31,8 @@ from docketry.runtime import checkpoint, rows_up_to, widen
 CELL, PROBES, TOGETHER = 2000, 14, 8
 #: Vectors the centroids are fitted on, at most, and centroids of a model, at most.
 SAMPLE, MOST_CELLS = 40_000, 4096
+#: Models and vector lengths of one call; the driver holds the centroids of each.
+MOST_KINDS = 1000
 #: Rows of a block's query and base in one task.
 QUERY_ROWS, BASE_ROWS = 20_000, 80_000
 #: Parts that the copies of one vector are ranked in first.
@@ -181,8 +183,9 @@ def most_similar(rows: DataFrame, key: str, k: int = 5, least: float = -1.0, pro
     an empty table gives no rows.
     """
     spark = rows.sparkSession
-    ready = usable(rows, key, vector, dimension, model).withColumn("_h", F.xxhash64("_model", "_vec")).withColumn("_g", F.md5(F.concat_ws(",", F.transform("_vec", lambda x: x.cast("string")))))
-    ready = ready.withColumn("_copy", F.concat_ws("/", F.col("_h").cast("string"), "_g")).drop("_h", "_g")
+    # two independent hashes of 64 bits name the copies of a vector
+    told = F.concat_ws("/", F.xxhash64("_model", "_vec").cast("string"), F.xxhash64(F.lit(7), "_vec").cast("string"))
+    ready = usable(rows, key, vector, dimension, model).withColumn("_copy", told)
     copies = ready.select("_copy", "_id")
     salted = copies.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
     inner = Window.partitionBy("_copy", "_s").orderBy("_id")
@@ -190,7 +193,10 @@ def most_similar(rows: DataFrame, key: str, k: int = 5, least: float = -1.0, pro
     ranked = salted.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= k + 1).withColumn("_r", F.row_number().over(outer)).filter(F.col("_r") <= k + 1)
     chosen = ranked.select("_id", "_copy", (F.col("_r") == 1).alias("_asks"))
     base = checkpoint(ready.join(chosen.select("_id", "_asks"), "_id").select("_id", "_model", "_copy", "_asks", "_vec"))
-    sizes = {(r["_model"], r["_n"]): r["count"] for r in (rows_up_to(base.groupBy("_model", F.size("_vec").alias("_n")).count(), 1000) or _too_many())}
+    kinds = rows_up_to(base.groupBy("_model", F.size("_vec").alias("_n")).count(), MOST_KINDS)
+    if kinds is None:
+        raise ValueError(f"more than {MOST_KINDS} models or dimensions")
+    sizes = {(r["_model"], r["_n"]): r["count"] for r in kinds}
     cells: dict[tuple, np.ndarray] = {}
     for (m, n), count in sizes.items():
         part = base.filter((F.col("_model") == m) & (F.size("_vec") == n))
@@ -261,10 +267,6 @@ def most_similar(rows: DataFrame, key: str, k: int = 5, least: float = -1.0, pro
     return every.select(F.col("_id").alias(key), F.posexplode("_l").alias("_p", "_e")).select(key, F.col("_e.d").alias("neighbour"), F.negative("_e.c").alias("cosine"), (F.col("_p") + 1).cast("int").alias("rank"))
 
 
-def _too_many():
-    raise ValueError("more than 1000 models or dimensions")
-
-
 def pairs_found(lists: DataFrame, key: str) -> DataFrame:
     """Distinct pairs (chunk_a < chunk_b) of which one is in the other's list."""
     return lists.select(F.least(key, "neighbour").alias("chunk_a"), F.greatest(key, "neighbour").alias("chunk_b")).distinct()
