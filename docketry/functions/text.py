@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANK = r"[ \t\f\v\x{a0}]+"
+BLANK = r"[ \t\f\x0b\x{a0}]+"
 #: Sequences that UTF-8 read as Windows-1252 leaves, with what they stand for.
 GARBLED = {"â€™": "’", "â€˜": "‘", "â€œ": "“", "â€“": "–", "â€”": "—", "â€¦": "…", "Â ": " ", "Ã©": "é", "Ã¨": "è", "Ãª": "ê", "Ã§": "ç", "Ã´": "ô"}
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

@@ -90,7 +90,7 @@ def chunk_document(text: str, target: int = TARGET, most: int = MOST) -> list[di
             section, title, number = section + 1, line.strip(), None
             held.append(line.strip())
         elif m:
-            if held and not (len(held) == 1 and held[0] == title):
+            if "\n".join(held).strip() not in ("", title):
                 close()
             number = int(next(g for g in m.groups() if g))
             held.append(line)
@@ -148,6 +148,8 @@ def chunk_documents(docs: DataFrame, key: str, text: str, title: str, target: in
                     told += [f"{a} = {b}" for a, b in sorted(known_aliases(prior, c["text"]).items())]
                     out.append({"_key": k, **c, "context_prefix": " | ".join(told)[:2400]})
                     prior = (prior + "\n" + c["text"])[-2 * LOOK_BACK :]
+            if not out:
+                continue
             frame = pd.DataFrame(out, columns=names)
             for n in ("chunk_index", "section_id", "paragraph_start", "paragraph_end", "token_count"):
                 frame[n] = frame[n].astype("Int32")

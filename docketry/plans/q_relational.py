@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
@@ -12,24 +12,30 @@ from docketry.plans.book import Book, Tables
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
 
-KIND = F.when(F.col("source_table") == "canada_laws", "law").otherwise("case")
 KIND_SQL = "CASE WHEN source_table = 'canada_laws' THEN 'law' ELSE 'case' END"
-CODE = F.coalesce(F.nullif(F.trim(F.lower("source_code")), F.lit("")), F.lit("unknown"))
 CODE_SQL = "coalesce(nullif(trim(lower(source_code)), ''), 'unknown')"
 
 
+def kind() -> Column:
+    return F.when(F.col("source_table") == "canada_laws", "law").otherwise("case")
+
+
+def code() -> Column:
+    return F.coalesce(F.nullif(F.trim(F.lower("source_code")), F.lit("")), F.lit("unknown"))
+
+
 def official(t: Tables) -> DataFrame:
     return t.canada_laws.filter("origin = 'official'")
 
 
 @book.add(f"SELECT {CODE_SQL} AS source_code, count(*) AS n FROM source_items GROUP BY 1")
 def a01_source_counts(t: Tables) -> DataFrame:
-    return t.source_items.groupBy(CODE.alias("source_code")).agg(F.count(F.lit(1)).alias("n"))
+    return t.source_items.groupBy(code().alias("source_code")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @book.add(f"SELECT {KIND_SQL} AS kind, count(*) AS chunks, count(DISTINCT source_table || ':' || source_id) AS documents FROM rag_chunks GROUP BY 1")
 def a02_kind_documents(t: Tables) -> DataFrame:
-    return t.rag_chunks.groupBy(KIND.alias("kind")).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_table", "source_id").alias("documents"))
+    return t.rag_chunks.groupBy(kind().alias("kind")).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_table", "source_id").alias("documents"))
 
 
 @book.add("SELECT count(*) AS n, count(DISTINCT lower(trim(title))) AS titles FROM source_items WHERE trim(title) <> ''")
@@ -188,7 +194,7 @@ def a25_data_readiness(t: Tables) -> DataFrame:
 @book.add(f"""SELECT count(*) AS total, count(*) FILTER (WHERE {CODE_SQL} IN ('a2aj_case', 'canlii', 'url_canada_case')) AS cases, count(*) FILTER (WHERE {CODE_SQL} LIKE '%act%' OR {CODE_SQL} LIKE '%statute%') AS laws,
     count(*) FILTER (WHERE {CODE_SQL} = 'unknown') AS unknown FROM source_items""")
 def a28_source_breakdown(t: Tables) -> DataFrame:
-    return t.source_items.agg(F.count(F.lit(1)).alias("total"), F.count_if(CODE.isin("a2aj_case", "canlii", "url_canada_case")).alias("cases"), F.count_if(CODE.contains("act") | CODE.contains("statute")).alias("laws"), F.count_if(CODE == "unknown").alias("unknown"))
+    return t.source_items.agg(F.count(F.lit(1)).alias("total"), F.count_if(code().isin("a2aj_case", "canlii", "url_canada_case")).alias("cases"), F.count_if(code().contains("act") | code().contains("statute")).alias("laws"), F.count_if(code() == "unknown").alias("unknown"))
 
 
 @book.add("""SELECT k.id, s.title AS case_title, l.title AS law_title, round(k.match_score, 4) AS score FROM canada_case_law_links k JOIN source_items s ON s.id = k.case_item_id JOIN canada_laws l ON l.id = k.law_id
@@ -343,7 +349,7 @@ def w04_rank_map(t: Tables) -> DataFrame:
 
 @book.add(f"""SELECT id, {KIND_SQL} AS kind, round(token_count / greatest(1.0, max(token_count) OVER (PARTITION BY {KIND_SQL})), 6) AS normalised FROM rag_chunks WHERE token_count IS NOT NULL""")
 def w05_kind_normalised(t: Tables) -> DataFrame:
-    rows = t.rag_chunks.filter("token_count is not null").select("id", KIND.alias("kind"), "token_count")
+    rows = t.rag_chunks.filter("token_count is not null").select("id", kind().alias("kind"), "token_count")
     top = rows.groupBy("kind").agg(F.max("token_count").alias("top"))
     # the maximum per kind is an aggregate of a few rows; a window would sort each kind in one task
     return rows.join(F.broadcast(top), "kind").select("id", "kind", F.round(F.col("token_count") / F.greatest(F.lit(1.0), F.col("top").cast("double")), 6).alias("normalised"))

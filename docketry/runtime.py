@@ -48,3 +48,9 @@ def spread(df: DataFrame, *by: str, per: int | None = None) -> DataFrame:
     """Rows spread evenly over the shuffle partitions (``per`` overrides how many)."""
     n = per or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *[F.col(c) for c in by]) if by else df.repartition(n)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores, for costly passes over few files."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= n else df.repartition(n)
