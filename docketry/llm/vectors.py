@@ -1,19 +1,20 @@
 """The most similar vectors of every vector (problem 3).
 
 Block matrix join. Vectors are put into cells around centroids fitted on a
-bounded sample; neighbouring cells form a query block, whose base are the cells
-nearest to any of its own. In a task, tiles of int8 products give every cosine
-with a bound on its quantisation error; what may still be among the k best, by
-that bound, is computed again from the floats, and the k best are kept row by
-row. Blocks are of bounded size: a query block or base above it is cut into
-parts, and the parts' lists are merged.
+bounded sample; the vectors of neighbouring cells form a query block, whose base
+are the cells that any of them probes, its nearest ones. In a task, tiles of int8
+products, one for each cell and the rows that probe it, give every cosine with a
+bound on its quantisation error; what may still be among the k best, by that
+bound, is computed again from the floats, and each row's k best are merged.
+Blocks are of bounded size: a query block or base above it is cut into parts,
+and the parts' lists are merged.
 
 Equal vectors are folded first. Of a group of copies the k + 1 with the smallest
 ids are kept as base, since no other copy can be among anyone's k best, and one
 of them asks for all; so copies, even a third of all rows, never fill a block.
 
-Cells make the search approximate: neighbours in cells that are not among the
-nearest are missed. README gives the recall measured against brute force.
+Cells make the search approximate: neighbours in cells that a row does not probe
+are missed. README gives the recall measured against brute force.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from pyspark.sql import functions as F
 
 from docketry.runtime import checkpoint, rows_up_to, widen
 
-#: Vectors of a cell, about; cells that each cell is compared with; cells of a query block.
-CELL, PROBES, TOGETHER = 2000, 14, 8
+#: Vectors of a cell, about; cells that each vector is compared with; cells of a query block.
+CELL, PROBES, TOGETHER = 500, 16, 64
 #: Vectors the centroids are fitted on, at most, and centroids of a model, at most.
 SAMPLE, MOST_CELLS = 40_000, 4096
 #: Models and vector lengths of one call; the driver holds the centroids of each.
 MOST_KINDS = 1000
 #: Rows of a block's query and base in one task.
-QUERY_ROWS, BASE_ROWS = 20_000, 80_000
+QUERY_ROWS, BASE_ROWS = 40_000, 80_000
 #: Parts that the copies of one vector are ranked in first.
 SALTS = 64
 
@@ -89,59 +90,67 @@ def quantised(x: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
     return q, np.sqrt(((x - q.astype(np.float32) * (top / 127.0)) ** 2).sum(axis=1))
 
 
-def block_join(ask: np.ndarray, ask_ids: np.ndarray, base: np.ndarray, base_ids: np.ndarray, k: int, least: float, tile: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of ``base`` for each row of ``ask``: (row, id, cosine rounded to 6 places).
+def probe_join(ask: np.ndarray, ask_ids: np.ndarray, probes: np.ndarray, base: np.ndarray, base_ids: np.ndarray, cells: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of ``base`` for each row of ``ask`` in the cells it probes: (row, id, cosine rounded to 6 places).
 
-    Exact for the rows given: an int8 product is passed over only if its bound is
-    below the k-th best so far. Equal cosines are ordered by id; cosines below
-    ``least`` are left out. A row is among its own best if it is in ``base``.
+    ``probes`` has the cells of each row, the nearest first; ``cells`` the cell of
+    each base row. Exact for those cells: an int8 product is passed over only if
+    its bound is below the k-th best so far. Equal cosines are ordered by id;
+    cosines below ``least`` are left out. A row is among its own best if it is
+    in ``base``.
     """
+    none = (np.zeros(0, np.int64), base_ids[:0], np.zeros(0))
+    if not len(ask) or not len(base):
+        return none
     n_ask, n_base = (np.linalg.norm(m.astype(np.float64), axis=1) for m in (ask, base))
+    order = np.argsort(cells, kind="stable")
+    base, base_ids, n_base, cells = base[order], base_ids[order], n_base[order], cells[order]
     a, b = (ask / n_ask[:, None]).astype(np.float32), (base / n_base[:, None]).astype(np.float32)
-    top = float(max(np.abs(a).max(initial=1e-9), np.abs(b).max(initial=1e-9)))
+    top = float(max(np.abs(a).max(), np.abs(b).max()))
     qa, ea = quantised(a, top)
     qb, eb = quantised(b, top)
     unit = (top / 127.0) ** 2
     product = _product()
-    rows_out, ids_out, cos_out = [], [], []
-    for lo in range(0, len(a), tile):
-        hi = min(len(a), lo + tile)
-        floor = np.full(hi - lo, least)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(b), tile):
-            end = min(len(b), at + tile)
-            y = product(qa[lo:hi], qb[at:end])
-            # |x.y - x'.y'| <= |x - x'| + |y - y'| (1 + |x - x'|)
-            slack = ea[lo:hi] + eb[at:end].max() * (1 + ea[lo:hi]) + 1e-6
-            if len(b) > k and (at == 0 or not held) and end - at > k:
-                kth = np.partition(y, end - at - k, axis=1)[:, end - at - k] * unit - slack
-                floor = np.maximum(floor, kth - 1e-6)
-            i, j = np.nonzero(y >= np.floor((floor - slack) / unit)[:, None])
-            for s in range(0, len(i), 200_000):
-                ii, jj = i[s : s + 200_000], j[s : s + 200_000]
-                c = np.einsum("ij,ij->i", ask[lo + ii].astype(np.float64), base[at + jj].astype(np.float64)) / (n_ask[lo + ii] * n_base[at + jj])
+    # |x.y - x'.y'| <= |x - x'| + |y - y'| (1 + |x - x'|)
+    slack = ea + float(eb.max()) * (1 + ea) + 1e-6
+    floor = np.full(len(ask), least)
+    rows_of = np.argsort(probes, axis=None, kind="stable")
+    sorted_probes = probes.ravel()[rows_of]
+    names, starts = np.unique(cells, return_index=True)
+    ends = np.append(starts[1:], len(cells))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # the nearest cell of each row comes first and sets the bar for the others
+    for first in (True, False):
+        for name, lo, hi in zip(names, starts, ends):
+            mine = rows_of[np.searchsorted(sorted_probes, name) : np.searchsorted(sorted_probes, name, "right")]
+            rows = mine[(mine % probes.shape[1] == 0) == first] // probes.shape[1]
+            for s in range(0, len(rows), 4096):
+                r = rows[s : s + 4096]
+                y = product(qa[r], qb[lo:hi])
+                if first and hi - lo >= k:
+                    kth = np.partition(y, hi - lo - k, axis=1)[:, hi - lo - k] * unit - slack[r]
+                    floor[r] = np.maximum(floor[r], kth - 1e-6)
+                i, j = np.nonzero(y >= np.floor((floor[r] - slack[r]) / unit)[:, None])
+                ii, jj = r[i], j + lo
+                c = np.empty(len(ii))
+                for x in range(0, len(ii), 100_000):
+                    p, q = ii[x : x + 100_000], jj[x : x + 100_000]
+                    c[x : x + 100_000] = np.einsum("ij,ij->i", ask[p].astype(np.float64), base[q].astype(np.float64)) / (n_ask[p] * n_base[q])
                 c = np.round(c, 6)
-                good = c >= floor[ii] - 1e-6
-                held.append((ii[good], base_ids[at + jj[good]], c[good]))
-            if sum(len(h[0]) for h in held) > 40 * k * (hi - lo) or end == len(b):
-                r, d, c = (np.concatenate(z) for z in zip(*held)) if held else (np.zeros(0, int), base_ids[:0], np.zeros(0))
-                order = np.lexsort((d, -c, r))
-                r, d, c = r[order], d[order], c[order]
-                first = np.searchsorted(r, r)
-                keep = (np.arange(len(r)) - first < k) & (c >= least)
-                r, d, c = r[keep], d[keep], c[keep]
-                held = [(r, d, c)]
-                full = np.bincount(r, minlength=hi - lo) >= k
-                worst = np.full(hi - lo, least)
-                np.minimum.at(w := np.full(hi - lo, 2.0), r, c)
-                floor = np.maximum(floor, np.where(full, w, worst))
-        r, d, c = held[0] if held else (np.zeros(0, int), base_ids[:0], np.zeros(0))
-        rows_out.append(r + lo)
-        ids_out.append(d)
-        cos_out.append(c)
-    if not rows_out:
-        return np.zeros(0, int), base_ids[:0], np.zeros(0)
-    return np.concatenate(rows_out), np.concatenate(ids_out), np.concatenate(cos_out)
+                good = (c >= floor[ii] - 2e-6) & (c >= least)
+                found.append((ii[good], base_ids[jj[good]], c[good]))
+    r, d, c = (np.concatenate(z) for z in zip(*found)) if found else none
+    order = np.lexsort((d, -c, r))
+    r, d, c = r[order], d[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], d[keep], c[keep]
+
+
+def block_join(ask: np.ndarray, ask_ids: np.ndarray, base: np.ndarray, base_ids: np.ndarray, k: int, least: float, tile: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``probe_join`` with every row of ``base``, in tiles: the exact result."""
+    cells = np.arange(len(base)) // tile
+    probes = np.tile(np.arange(max(1, -(-len(base) // tile))), (len(ask), 1))
+    return probe_join(ask, ask_ids, probes, base, base_ids, cells, k, least)
 
 
 def usable(rows: DataFrame, key: str, vector: str = "embedding_vector", dimension: str = "dimension", model: str = "embedding_model") -> DataFrame:
@@ -212,53 +221,59 @@ def most_similar(rows: DataFrame, key: str, k: int = 5, least: float = -1.0, pro
         for batch in batches:
             batch = batch.reset_index(drop=True)
             lengths = batch["_vec"].map(len)
-            near = np.zeros(len(batch), dtype=np.int32)
+            near: list = [None] * len(batch)
             for (m, n), where in batch.groupby([batch["_model"], lengths]).groups.items():
-                near[where] = (_unit(batch["_vec"].loc[where]) @ known[m, n].T).argmax(axis=1)
-            yield pd.DataFrame({"_id": batch["_id"], "_model": batch["_model"], "_n": lengths.astype("int32"), "_cell": near, "_asks": batch["_asks"], "_vec": [np.asarray(v, dtype=np.float32).tobytes() for v in batch["_vec"]]})
-
-    placed = checkpoint(widen(base.select("_id", "_model", "_asks", "_vec")).mapInPandas(assign, "_id bigint, _model string, _n int, _cell int, _asks boolean, _vec binary"))
+                like = _unit(batch["_vec"].loc[where]) @ known[m, n].T
+                best = np.argpartition(-like, min(probes, like.shape[1]) - 1, axis=1)[:, :probes]
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(like, best, 1), axis=1, kind="stable"), 1)
+                for i, row in zip(where, best.astype(np.int32)):
+                    near[i] = row
+            yield pd.DataFrame({"_id": batch["_id"], "_model": batch["_model"], "_n": lengths.astype("int32"), "_cell": [int(x[0]) for x in near], "_near": near, "_asks": batch["_asks"], "_vec": [np.asarray(v, dtype=np.float32).tobytes() for v in batch["_vec"]]})
+
+    placed = checkpoint(widen(base.select("_id", "_model", "_asks", "_vec")).mapInPandas(assign, "_id bigint, _model string, _n int, _cell int, _near array<int>, _asks boolean, _vec binary"))
     counts = {(r["_model"], r["_n"], r["_cell"]): (r["n"], r["asks"]) for r in placed.groupBy("_model", "_n", "_cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_asks").cast("int")).alias("asks")).collect()}
-    plan = []
+    pools = []
     for (m, n), c in cells.items():
-        near = np.argsort(-(c @ c.T), axis=1, kind="stable")[:, :probes]
-        for i in range(len(c)):
-            near[i] = np.concatenate([[i], near[i][near[i] != i]])[: near.shape[1]]
-        left = set(range(len(c)))
         likeness = c @ c.T
+        left = set(range(len(c)))
         while left:
             # a block: a cell and its nearest cells that are in no block yet
             head = min(left)
             pool = sorted(left, key=lambda x: (-likeness[head, x], x))[:TOGETHER]
             left -= set(pool)
-            reach = sorted({int(x) for i in pool for x in near[i]})
-            asks = sum(counts.get((m, n, i), (0, 0))[1] for i in pool)
-            has = sum(counts.get((m, n, i), (0, 0))[0] for i in reach)
-            qparts, bparts = max(1, -(-asks // QUERY_ROWS)), max(1, -(-has // BASE_ROWS))
-            name = len(plan)
-            plan.append((m, n, name, pool, reach, qparts, bparts))
-    rows_plan = [(m, n, i, name, q, b, True) for m, n, name, pool, _, q, b in plan for i in pool] + [(m, n, i, name, q, b, False) for m, n, name, _, reach, q, b in plan for i in reach]
-    # one row per cell of a block: at most (PROBES + 1) times MOST_CELLS rows for each model
-    table = F.broadcast(spark.createDataFrame(rows_plan, "_model string, _n int, _cell int, _block int, _q int, _b int, _ask boolean"))
-    sent = placed.join(table, ["_model", "_n", "_cell"]).filter("not _ask or _asks")
-    mine = F.pmod(F.xxhash64("_id", F.lit("part")), F.when(F.col("_ask"), F.col("_q")).otherwise(F.col("_b"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("_ask"), F.col("_b")).otherwise(F.col("_q")) - 1)
-    sent = sent.withColumn("_mine", mine).withColumn("_other", F.explode(others))
-    sent = sent.select("_block", F.when(F.col("_ask"), F.col("_mine")).otherwise(F.col("_other")).alias("_qp"), F.when(F.col("_ask"), F.col("_other")).otherwise(F.col("_mine")).alias("_bp"), "_ask", "_id", "_n", "_vec")
+            pools.append((m, n, pool))
+    # every table below has a row per cell or per cell of a block: bounded by MOST_CELLS and TOGETHER for each model
+    home = F.broadcast(spark.createDataFrame([(m, n, i, b) for b, (m, n, pool) in enumerate(pools) for i in pool], "_model string, _n int, _cell int, _block int"))
+    asking_rows = placed.filter("_asks").join(home, ["_model", "_n", "_cell"])
+    reach: dict[int, list[int]] = {}
+    for r in asking_rows.select("_block", F.explode("_near").alias("_cell")).distinct().collect():
+        reach.setdefault(r["_block"], []).append(r["_cell"])
+    plan = []
+    for b, (m, n, pool) in enumerate(pools):
+        asks = sum(counts.get((m, n, i), (0, 0))[1] for i in pool)
+        has = sum(counts.get((m, n, i), (0, 0))[0] for i in reach.get(b, ()))
+        plan.append((m, n, b, max(1, -(-asks // QUERY_ROWS)), max(1, -(-has // BASE_ROWS))))
+    sizes_of = F.broadcast(spark.createDataFrame([(b, q, p) for _, _, b, q, p in plan], "_block int, _q int, _b int"))
+    seen = F.broadcast(spark.createDataFrame([(m, n, i, b) for m, n, b, _, _ in plan for i in reach.get(b, ())], "_model string, _n int, _cell int, _block int"))
+    shared = ["_block", "_id", "_n", "_cell", "_vec"]
+    asked = asking_rows.join(sizes_of, "_block").select(*shared, "_near", F.lit(True).alias("_ask"), F.pmod(F.xxhash64("_id", F.lit("part")), F.col("_q")).cast("int").alias("_qp"), F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_bp"))
+    held = placed.join(seen, ["_model", "_n", "_cell"]).join(sizes_of, "_block").select(*shared, F.lit(None).cast("array<int>").alias("_near"), F.lit(False).alias("_ask"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("_qp"), F.pmod(F.xxhash64("_id", F.lit("part")), F.col("_b")).cast("int").alias("_bp"))
+    sent = asked.unionByName(held)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         dims = int(frame["_n"].iloc[0])
         asked = frame["_ask"].to_numpy(dtype=bool)
         ids = frame["_id"].to_numpy(dtype=np.int64)
-        x = np.frombuffer(b"".join(frame["_vec"]), dtype=np.float32).reshape(-1, dims)
         if not asked.any() or asked.all():
             return pd.DataFrame({"_id": ids[:0], "neighbour": ids[:0], "cosine": np.zeros(0)})
-        q, d, c = block_join(x[asked], ids[asked], x[~asked], ids[~asked], k + 1, least)
+        x = np.frombuffer(b"".join(frame["_vec"]), dtype=np.float32).reshape(-1, dims)
+        near = np.stack(frame["_near"][asked].to_list())
+        q, d, c = probe_join(x[asked], ids[asked], near, x[~asked], ids[~asked], frame["_cell"].to_numpy()[~asked], k + 1, least)
         return pd.DataFrame({"_id": ids[asked][q], "neighbour": d, "cosine": c})
 
     lists = sent.groupBy("_block", "_qp", "_bp").applyInPandas(join, "_id bigint, neighbour bigint, cosine double")
     best = Window.partitionBy("_id").orderBy(F.desc("cosine"), "neighbour")
-    if any(b > 1 for *_, b in plan):
+    if any(p > 1 for *_, p in plan):
         lists = lists.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1).drop("_r")
     # what one copy found holds for all of them
     asking = base.filter("_asks").select("_id", "_copy")
