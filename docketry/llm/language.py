@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.tokens import TOKENIZERS
@@ -30,6 +30,7 @@ from docketry.runtime import widen
 LANGUAGES = ("en", "fr", "zh", "es", "de", "pt")
 #: Labelled rows to fit on, at most, and of each language; with fewer rows of a language all are used.
 SAMPLE, SAMPLE_EACH = 2400, 400
+LONGEST_SAMPLE = 20_000
 VOCABULARY = "piece_bpe_32k.model"
 #: Pieces of up to so many characters; what a character outside every piece costs in any language.
 LONGEST, UNKNOWN = 16, 1e-7
@@ -243,20 +244,22 @@ def _expect(model: Model, word: str, count: np.ndarray, into: np.ndarray) -> Non
         into[p] += count * ahead[a] * model.probs[p] * back[b] / total
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", folder: str = TOKENIZERS, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> Model:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folder: str = TOKENIZERS, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> Model:
     """Fit a model on at most ``sample`` labelled rows, at most ``each`` of a language.
 
-    The rows are those with the smallest hash of their text, so the same data
-    give the same model. A language without labelled rows is never assigned.
+    The rows are those with the smallest hashes of their keys, so the same data
+    give the same model. They are chosen from keys and labels alone; the texts
+    are then read once, of the chosen rows only; texts over LONGEST_SAMPLE
+    characters are left out. A language without labelled rows is never assigned.
     """
     known = F.lower(F.regexp_extract(F.trim(lang), r"^[A-Za-z]{2}(?=$|[-_])", 0))
-    labelled = docs.select(F.col(text).cast("string").alias("_text"), known.alias("_lang")).filter(F.col("_lang").isin(*LANGUAGES) & F.col("_text").isNotNull() & (F.length("_text") < 20_000))
-    labelled = labelled.withColumn("_h", F.xxhash64("_text"))
-    parts = [labelled.filter(F.col("_lang") == x).orderBy("_h").limit(each) for x in LANGUAGES]
-    rows = []
-    for p in parts:
-        rows += [(r["_text"], r["_lang"]) for r in p.select("_text", "_lang").collect()]
-    return fit(rows[:sample], pieces(folder))
+    keyed = docs.select(F.col(key).alias("_key"), known.alias("_lang")).filter(F.col("_lang").isin(*LANGUAGES))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key"))
+    chosen = keyed.withColumn("_r", rank).filter(F.col("_r") <= each).select("_key", "_lang")
+    # at most ``each`` rows of each language
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_key").filter(F.length("_text") <= LONGEST_SAMPLE)
+    rows = sorted((r["_lang"], r["_text"]) for r in texts.select("_lang", "_text").collect())
+    return fit([(t, x) for x, t in rows][:sample], pieces(folder))
 
 
 def _shares(scores: np.ndarray, words: np.ndarray) -> np.ndarray:
