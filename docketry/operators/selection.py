@@ -1,40 +1,58 @@
-"""Order-dependent choices over a bounded head of ranked rows."""
+"""Order-dependent choices over ranked rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most rows that a greedy choice may look at; the head is cut by rank before.
-HEAD = 5000
+from docketry.runtime import checkpoint
+
+#: Edges still open at which one task decides the rest, with the same result as further rounds.
+FINISH = 20_000
 
 
-def degree_capped(edges: DataFrame, most: int, head: int = HEAD) -> DataFrame:
+def degree_capped(edges: DataFrame, most: int, finish: int = FINISH) -> DataFrame:
     """Edges taken from the most similar down while both ends have fewer than ``most``.
 
-    Of each node only its ``most`` best edges can be taken, plus those that turn
-    up when a better one is refused by its other end; so each node's first
-    ``4 * most`` edges go to one task, at most ``head`` in all, best first.
+    In rounds: an edge among the first of both its ends, within what these may
+    still take, is taken whatever becomes of the edges before it; then edges of
+    full nodes are dropped. Each round takes at least the best open edge. At most
+    ``finish`` open edges are decided one by one in a single task.
     """
-    both = edges.select("a", "b", "similarity")
-    ends = both.select(F.col("a").alias("n"), "a", "b", "similarity").unionByName(both.select(F.col("b").alias("n"), "a", "b", "similarity"))
+    kinds = dict(edges.dtypes)
+    key = ["a", "b", "similarity"]
+    rest = edges.select("a", "b", F.col("similarity").cast("double").alias("similarity")).distinct()
+    rest = checkpoint(rest.select(*key, F.lit(most).alias("qa"), F.lit(most).alias("qb")))
+    # both ends of a loop have one rank, and only the first of a node are shuffled
     w = Window.partitionBy("n").orderBy(F.desc("similarity"), "a", "b")
-    kept = ends.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 4 * most).select("a", "b", "similarity").distinct()
-    top = kept.orderBy(F.desc("similarity"), "a", "b").limit(head)
+    parts = []
+    while rest.count() > finish:
+        ends = rest.select(F.col("a").alias("n"), *key, F.col("qa").alias("q")).unionAll(rest.select(F.col("b").alias("n"), *key, F.col("qb").alias("q")))
+        first = ends.withColumn("r", F.rank().over(w)).filter(F.col("r") <= most).filter("r <= q")
+        taken = checkpoint(first.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c = 2").select(*key))
+        parts.append(taken)
+        used = taken.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).cast("int").alias("u"))
+        same = reduce(lambda x, y: x & y, [rest[c].eqNullSafe(taken[c]) for c in key])
+        rest = rest.join(taken, same, "left_anti")
+        for end, q in (("a", "qa"), ("b", "qb")):
+            rest = rest.join(used.withColumnRenamed("n", end), end, "left").withColumn(q, F.col(q) - F.coalesce("u", F.lit(0))).drop("u").filter(F.col(q) > 0)
+        rest = checkpoint(rest.select(*key, "qa", "qb"))
 
     def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        degree: dict = {}
+        left: dict = {}
         taken = []
-        for i, e in enumerate(frame.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples()):
-            if degree.get(e.a, 0) < most and degree.get(e.b, 0) < most:
-                degree[e.a] = degree.get(e.a, 0) + 1
-                degree[e.b] = degree.get(e.b, 0) + 1
+        for e in frame.sort_values(["similarity", "a", "b"], ascending=[False, True, True]).itertuples():
+            if left.setdefault(e.a, e.qa) > 0 and left.setdefault(e.b, e.qb) > 0:
+                left[e.a] -= 1
+                left[e.b] -= 1
                 taken.append((e.a, e.b, e.similarity))
         return pd.DataFrame(taken, columns=["a", "b", "similarity"])
 
-    kinds = dict(both.dtypes)
-    return top.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(greedy, f"a {kinds['a']}, b {kinds['b']}, similarity double")
+    last = rest.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(greedy, f"a {kinds['a']}, b {kinds['b']}, similarity double")
+    return reduce(DataFrame.unionByName, parts, last)
 
 
 def covered(rows: DataFrame, kinds: list[str], limit: int) -> DataFrame:

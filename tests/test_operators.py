@@ -99,6 +99,20 @@ def test_greedy_edges(spark):
     assert {tuple(r) for r in L.degree_capped(df, 3).collect()} == want
 
 
+def test_greedy_edges_beyond_any_head(spark):
+    rng = random.Random(5)
+    rows = [(a, b, round(rng.random(), 2)) for a in range(2500) for b in [rng.randrange(2500) for _ in range(4)] if a != b]
+    rows = sorted({(a, b): (a, b, s) for a, b, s in rows}.values()) + [(9000, i, 0.999) for i in range(60)]
+    degree, want = {}, set()
+    for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if degree.get(a, 0) < 3 and degree.get(b, 0) < 3:
+            degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+            want.add((a, b, s))
+    df = spark.createDataFrame(rows, "a int, b int, similarity double")
+    assert len(rows) > 9000 and {tuple(r) for r in L.degree_capped(df, 3).collect()} == want
+    assert {tuple(r) for r in L.degree_capped(df, 3, finish=500).collect()} == want
+
+
 def test_upserts_and_caps(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 1, "n"), (2, 4, "n"), (3, 0, "n")], "k int, v int, x string")
