@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions import arrays as V
 from docketry.functions import planner as P
 from docketry.functions import text as X
+from docketry.operators import dictionary as D
 from docketry.operators import relational as R
 from docketry.operators import relevance as S
 from docketry.operators import selection as L
@@ -80,6 +81,20 @@ def j12_dictionary_in_text(t: Tables) -> DataFrame:
     return tails.join(names, "t").select("id", "law_id").distinct()
 
 
+PHRASE = r"trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'))"
+
+
+@book.add(f"""WITH x AS (SELECT 'excerpt' AS kind, id, ' ' || {PHRASE.format('evidence_excerpt')} || ' ' AS t FROM canada_case_law_links UNION ALL SELECT 'case', id, ' ' || {PHRASE.format("concat_ws(' ', title, summary, raw_text)")} || ' ' FROM source_items),
+    n AS (SELECT DISTINCT law_id, {PHRASE.format('a')} AS p FROM (SELECT id AS law_id, unnest(list_concat([title, normalized_title, citation], coalesce(CAST(aliases_json AS VARCHAR[]), []))) AS a FROM (SELECT * REPLACE (from_json(aliases_json, '["VARCHAR"]') AS aliases_json) FROM canada_laws WHERE origin = 'official')))
+    SELECT DISTINCT x.kind, x.id, n.law_id FROM x JOIN n ON n.p <> '' AND contains(x.t, ' ' || n.p || ' ')""")
+def j12_names_in_text(t: Tables) -> DataFrame:
+    excerpts = t.canada_case_law_links.select(F.lit("excerpt").alias("kind"), "id", F.col("evidence_excerpt").alias("text"))
+    cases = t.source_items.select(F.lit("case").alias("kind"), "id", F.concat_ws(" ", "title", "summary", "raw_text").alias("text"))
+    aliases = F.coalesce(F.from_json("aliases_json", "array<string>"), F.array().cast("array<string>"))
+    names = t.canada_laws.filter("origin = 'official'").select(F.col("id").alias("name_id"), F.explode(F.concat(F.array("title", "normalized_title", "citation"), aliases)).alias("name"))
+    return D.names_in_text(excerpts.unionByName(cases), names).withColumnRenamed("name_id", "law_id")
+
+
 @book.add("""SELECT c.id, e.embedding_model FROM rag_chunks c JOIN (SELECT DISTINCT source_table, source_id FROM rag_chunks WHERE chunk_index = 0) d ON d.source_table = c.source_table AND d.source_id = c.source_id JOIN rag_chunk_embeddings e ON e.chunk_id = c.id AND e.embedding_model = 'lexvec-base'""")
 def j16_id_mapping(t: Tables) -> DataFrame:
     doc_map = t.rag_chunks.filter("chunk_index = 0").select("source_table", "source_id").distinct()

@@ -7,6 +7,7 @@ from docketry.functions import planner as P
 from docketry.functions import text as X
 from docketry.functions.terms import index_terms, stem
 from docketry.operators import chunking as C
+from docketry.operators import dictionary as D
 from docketry.operators import graph as G
 from docketry.operators import relational as R
 from docketry.operators import retrieval as I
@@ -113,6 +114,15 @@ def test_greedy_edges_beyond_any_head(spark):
     assert {tuple(r) for r in L.degree_capped(df, 3, finish=500).collect()} == want
 
 
+def test_names_are_found_whatever_their_form(spark):
+    names = spark.createDataFrame([(1, "Wharf Lighting Act, 1955"), (2, "Loi sur l’éclairage des quais"), (3, "WLA"), (4, "An Act to Amend the Rules of the Wharf and Quay Lighting Board"), (5, "Lighting Act"), (6, None), (7, " - ")], "name_id int, name string")
+    texts = spark.createDataFrame([("x", 1, "under the WHARF LIGHTING ACT, 1955, and wla."), ("x", 2, "selon la loi sur l'éclairage des quais"), ("x", 3, "an act to amend the rules of the wharf and quay lighting board"), ("x", 4, "Floodlighting Act and wlas"), ("x", 5, "a word " * 20000 + "Wharf\nLighting Act, 1955"), ("x", 6, None)], "kind string, id int, text string")
+    want = {(1, 1), (1, 3), (1, 5), (2, 2), (3, 4), (5, 1), (5, 5)}
+    for bound in (100, 0):
+        rows = D.names_in_text(texts, names, bound).select("id", "name_id").collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
 def test_upserts_and_caps(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 1, "n"), (2, 4, "n"), (3, 0, "n")], "k int, v int, x string")
