@@ -42,11 +42,15 @@ def link_score(official: Column, by: Column, occurrences: Column) -> Column:
     return F.round(F.least(base + F.least(F.lit(0.03), 0.01 * (occurrences - 1)), F.lit(0.99)), 4)
 
 
-def weighted_terms(fields: Sequence[tuple[Column, float]], terms: dict[str, float]) -> Column:
-    """Field weight times term weight times a damped count, over the root of the field's length."""
+def weighted_terms(fields: Sequence[tuple[Column, float]], terms: dict[str, float], prefix: int | None = None) -> Column:
+    """Field weight times term weight times a damped count, over the root of the field's length.
+
+    Only the first ``prefix`` characters of each field are looked at, if it is given.
+    """
     total = F.lit(0.0)
     for field, weight in fields:
-        low = F.lower(F.substring(F.coalesce(field, F.lit("")), 1, 2200))
+        text = F.coalesce(field, F.lit(""))
+        low = F.lower(text if prefix is None else F.substring(text, 1, prefix))
         length = F.greatest(F.lit(1.0), F.sqrt(F.greatest(F.lit(80), F.length(low)) / 420.0))
         for term, w in terms.items():
             n = (F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)

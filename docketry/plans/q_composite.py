@@ -65,6 +65,22 @@ RANK_TERMS = {"lease": 1.7, "easement": 1.7, "tenant": 1.0}
 @book.add(f"""WITH s AS (SELECT id, {_field_sql('title', 3.2, RANK_TERMS)} + {_field_sql('raw_text', 1.4, RANK_TERMS)} AS c FROM source_items)
     SELECT id, round(0.44 * least(greatest(ln(1 + c) / ln(19.0::DOUBLE), 0), 1) + 0.05, 4)::DOUBLE AS rank FROM s WHERE c > 0""")
 def r36_relation_rank(t: Tables) -> DataFrame:
+    c = S.weighted_terms([(F.col("title"), 3.2), (F.col("raw_text"), 1.4)], RANK_TERMS, prefix=2200)
+    return t.source_items.select("id", c.alias("c")).filter("c > 0").select("id", F.round(0.44 * S.normalised(F.col("c"), 18) + 0.05, 4).alias("rank"))
+
+
+def _whole_field_sql(c: str, w: float, terms: dict[str, float]) -> str:
+    low = f"lower(coalesce({c}, ''))"
+    parts = []
+    for x, v in terms.items():
+        n = f"((length({low}) - length(replace({low}, '{x}', ''))) / {len(x)}.0::DOUBLE)"
+        parts.append(f"CASE WHEN {n} > 0 THEN {w}::DOUBLE * {v}::DOUBLE * (1 + ln(1 + least({n}, 4.0::DOUBLE))) / greatest(1.0::DOUBLE, sqrt(greatest(80, length({low})) / 420.0::DOUBLE)) ELSE 0.0::DOUBLE END")
+    return " + ".join(parts)
+
+
+@book.add(f"""WITH s AS (SELECT id, {_whole_field_sql('title', 3.2, RANK_TERMS)} + {_whole_field_sql('raw_text', 1.4, RANK_TERMS)} AS c FROM source_items)
+    SELECT id, round(0.44 * least(greatest(ln(1 + c) / ln(19.0::DOUBLE), 0), 1) + 0.05, 4)::DOUBLE AS rank FROM s WHERE c > 0""")
+def r36_whole_relation_rank(t: Tables) -> DataFrame:
     c = S.weighted_terms([(F.col("title"), 3.2), (F.col("raw_text"), 1.4)], RANK_TERMS)
     return t.source_items.select("id", c.alias("c")).filter("c > 0").select("id", F.round(0.44 * S.normalised(F.col("c"), 18) + 0.05, 4).alias("rank"))
 

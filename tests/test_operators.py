@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from docketry.operators import chunking as C
 from docketry.operators import dictionary as D
 from docketry.operators import graph as G
 from docketry.operators import relational as R
+from docketry.operators import relevance as S
 from docketry.operators import retrieval as I
 from docketry.operators import selection as L
 
@@ -123,6 +125,13 @@ def test_names_are_found_whatever_their_form(spark):
         assert len(rows) == len(want) and {tuple(r) for r in rows} == want
 
 
+def test_terms_count_in_the_whole_field(spark):
+    df = spark.createDataFrame([(1, "x" * 5000 + " lease lease"), (2, "x" * 5000), (3, None)], "id int, t string")
+    got = {r["id"]: r["s"] for r in df.select("id", S.weighted_terms([(F.col("t"), 2.0)], {"lease": 1.5}).alias("s")).collect()}
+    assert abs(got[1] - 3 * (1 + math.log(3)) / math.sqrt(5012 / 420)) < 1e-9 and got[2] == got[3] == 0
+    assert df.filter(S.weighted_terms([(F.col("t"), 2.0)], {"lease": 1.5}, prefix=2200) > 0).count() == 0
+
+
 def test_upserts_and_caps(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 1, "n"), (2, 4, "n"), (3, 0, "n")], "k int, v int, x string")
