@@ -11,6 +11,7 @@ from docketry.functions import arrays as V
 from docketry.functions import planner as P
 from docketry.functions import text as X
 from docketry.operators import dictionary as D
+from docketry.operators import evidence as E
 from docketry.operators import relational as R
 from docketry.operators import relevance as S
 from docketry.operators import selection as L
@@ -307,6 +308,12 @@ def k24_evidence_snapshots(t: Tables) -> DataFrame:
     return t.source_items.filter("coalesce(source_code, '') <> ''").select("id", F.sha2(body, 256).alias("snapshot"), state.alias("state"))
 
 
+@book.add(f"""WITH r AS (SELECT id, coalesce(raw_text, '') AS x, regexp_replace(regexp_replace(coalesce(raw_text, ''), '{X.EMAIL}', '[email]', 'g'), '{X.PHONE}', '[phone]', 'g') AS y FROM source_items WHERE coalesce(source_code, '') <> '')
+    SELECT id, sha256(y) AS snapshot, CASE WHEN x <> y THEN 'redacted' ELSE 'plain' END AS state FROM r""")
+def k24_whole_snapshots(t: Tables) -> DataFrame:
+    return E.snapshots(t.source_items.filter("coalesce(source_code, '') <> ''").select("id", "source_uid", "raw_text"), "source_items")
+
+
 @book.add("SELECT id, '[' || coalesce(nullif(trim(title), ''), 'untitled') || '](' || source_url || '#chunk-' || chunk_index || ')' AS link FROM rag_chunks WHERE source_url IS NOT NULL AND chunk_index IS NOT NULL")
 def k25_citation_links(t: Tables) -> DataFrame:
     link = F.concat(F.lit("["), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("untitled")), F.lit("]("), "source_url", F.lit("#chunk-"), F.col("chunk_index").cast("string"), F.lit(")"))

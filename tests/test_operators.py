@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -9,6 +10,7 @@ from docketry.functions import text as X
 from docketry.functions.terms import index_terms, stem
 from docketry.operators import chunking as C
 from docketry.operators import dictionary as D
+from docketry.operators import evidence as E
 from docketry.operators import graph as G
 from docketry.operators import relational as R
 from docketry.operators import relevance as S
@@ -132,6 +134,15 @@ def test_terms_count_in_the_whole_field(spark):
     assert df.filter(S.weighted_terms([(F.col("t"), 2.0)], {"lease": 1.5}, prefix=2200) > 0).count() == 0
 
 
+def test_snapshots_cover_the_whole_redacted_text(spark):
+    long = "x" * 6000
+    df = spark.createDataFrame([(1, "u1", long + " a"), (2, "u2", long + " b"), (3, " u3 ", long + " a.b@c.org"), (4, None, long + " d.e@f.org"), (5, "u5", None)], "id int, source_uid string, raw_text string")
+    got = {r["id"]: (r["snapshot"], r["state"]) for r in E.snapshots(df, "items").collect()}
+    assert got[1][0] == hashlib.sha256((long + " a").encode()).hexdigest() != got[2][0]
+    assert got[3] == got[4] == (hashlib.sha256((long + " [email]").encode()).hexdigest(), "redacted") and got[5][1] == "plain"
+    assert {r["id"] for r in E.snapshots(df, "items", ["u3", "items:4", " "]).collect()} == {3, 4}
+
+
 def test_upserts_and_caps(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 1, "n"), (2, 4, "n"), (3, 0, "n")], "k int, v int, x string")
