@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.functions import arrays as V
 from docketry.functions.terms import index_terms, positions
+from docketry.functions.text import repair_text, token_estimate
 from docketry.operators.relational import first_per_group
 
 #: Rank constant and channel weights of the reciprocal-rank fusion (fixed values).
@@ -125,21 +128,58 @@ def ranked(rows: DataFrame, key: str, score: str, limit: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def context_windows(seeds: DataFrame, chunks: DataFrame, radius: int, budget: int) -> DataFrame:
-    """For each seed its neighbours within ``radius``, the seed first, then the nearest, within a token budget.
-
-    A neighbour that does not fit is skipped and later ones may still be taken;
-    a seed over the budget gives no window. Returns (seed_id, chunk_ids, tokens).
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType())]))
+def merge_overlap(parts: pd.Series) -> pd.DataFrame:
+    """The parts one after another; what ends one and begins the next is kept once, from 24 characters to 1,200. cut: whether anything was."""
+
+    def merge(texts: Sequence[str]) -> tuple[str, bool]:
+        merged, cut = "", False
+        for part in texts:
+            if not part or not merged:
+                merged = merged or part
+                continue
+            tail, start = merged[-min(len(merged), len(part), 1200) :], part[:24]
+            at = tail.find(start) if len(start) == 24 else -1
+            while at >= 0 and not part.startswith(tail[at:]):
+                at = tail.find(start, at + 1)
+            merged += part[len(tail) - at :] if at >= 0 else "\n\n" + part
+            cut = cut or at >= 0
+        return merged.strip(), cut
+
+    return pd.DataFrame([merge(texts) for texts in parts], columns=["text", "cut"])
+
+
+def context_windows(seeds: DataFrame | None, chunks: DataFrame, radius: int, budget: int) -> DataFrame:
+    """For each seed the neighbours of its section within ``radius``, the seed first, then the nearest, within a token budget.
+
+    ``chunks`` has (id, source_table, source_id, chunk_index, section_title,
+    text_content); ``seeds`` has the ids of those to expand, None means all. A
+    neighbour of another section is left out, one without a section is not. A
+    neighbour that does not fit is skipped and later ones may still be taken; a
+    seed over the budget gives no window. Tokens are estimated from the text, and
+    merging only lessens them. Returns (seed_id, chunk_ids, text, tokens), chunks
+    in their order.
     """
-    from docketry.operators.relational import neighbour_window
-
-    near = neighbour_window(seeds, chunks, ["source_table", "source_id"], "chunk_index", radius)
-    order = F.struct(F.abs("distance").alias("d"), F.col("distance").alias("e"), F.col("id").alias("id"), F.greatest(F.coalesce("token_count", F.lit(0)), F.lit(0)).cast("bigint").alias("t"))
-    rows = near.groupBy("seed_id").agg(F.array_sort(F.collect_list(order)).alias("near"))
+    section = F.lower(F.trim(F.coalesce("section_title", F.lit(""))))
+    rows = chunks.filter("chunk_index is not null").select("id", "source_table", "source_id", F.col("chunk_index").cast("int").alias("i"), section.alias("s"), repair_text(F.coalesce("text_content", F.lit(""))).alias("x"))
+    rows = rows.withColumn("t", F.when(F.col("x") == "", 0).otherwise(F.greatest(F.lit(1), token_estimate(F.col("x")))).cast("bigint"))
+    # one shuffle: texts meet their neighbours in a frame of their document
+    frame = Window.partitionBy("source_table", "source_id").orderBy("i").rangeBetween(-radius, radius)
+    rows = rows.withColumn("near", F.collect_list(F.struct("i", "id", "s", "t", "x")).over(frame)).select(F.col("id").alias("seed_id"), "i", "s", "near")
+    if seeds is not None:
+        rows = rows.join(seeds.select(F.col("id").alias("seed_id")).distinct(), "seed_id", "left_semi")
+    seed, home, at = F.col("seed_id"), F.col("s"), F.col("i")
+    kept = F.filter("near", lambda c: (c["id"] == seed) | (home == "") | (c["s"] == "") | (c["s"] == home))
+    order = F.array_sort(F.transform(kept, lambda c: F.struct((c["id"] != seed).cast("int").alias("o"), F.abs(c["i"] - at).alias("d"), c["i"].alias("i"), c["id"].alias("id"), c["t"].alias("t"))))
     start = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("bigint").alias("used"))
-    took = F.aggregate("near", start, lambda s, x: F.when(s["used"] + x["t"] <= budget, F.struct(F.concat(s["ids"], F.array(x["id"])).alias("ids"), (s["used"] + x["t"]).alias("used"))).otherwise(s))
-    out = rows.withColumn("w", took).filter(F.array_contains("w.ids", F.element_at("near", 1)["id"]))
-    return out.select("seed_id", F.array_join(F.transform("w.ids", lambda x: x.cast("string")), ",").alias("chunk_ids"), F.col("w.used").alias("tokens"))
+    took = F.aggregate(order, start, lambda a, c: F.when(a["used"] + c["t"] <= budget, F.struct(F.concat(a["ids"], F.array(c["id"])).alias("ids"), (a["used"] + c["t"]).alias("used"))).otherwise(a))
+    rows = rows.withColumn("took", took).filter(F.array_contains("took.ids", seed))
+    ids = F.col("took.ids")
+    rows = rows.select("seed_id", F.col("took.used").alias("used"), F.array_sort(F.filter("near", lambda c: F.array_contains(ids, c["id"]))).alias("w"))
+    out = rows.select("seed_id", "used", F.array_join(F.transform("w", lambda c: c["id"].cast("string")), ",").alias("chunk_ids"), merge_overlap(F.transform("w", lambda c: c["x"])).alias("m"))
+    # parts that share nothing have the tokens that were counted before
+    tokens = F.when(F.col("m.cut"), token_estimate(F.col("m.text")).cast("bigint")).otherwise(F.col("used"))
+    return out.filter(F.col("m.text") != "").select("seed_id", "chunk_ids", F.col("m.text").alias("text"), tokens.alias("tokens"))
 
 
 def best_per_document(rows: DataFrame, score: str) -> DataFrame:

@@ -188,9 +188,8 @@ def r21_linear_rerank(t: Tables) -> DataFrame:
 
 @book.add()
 def r22_context_windows(t: Tables) -> DataFrame:
-    c = t.rag_chunks.select("id", "source_table", "source_id", "chunk_index", "token_count")
-    seeds = c.filter("chunk_index = 1").select(F.col("id").alias("seed_id"), "source_table", "source_id", "chunk_index")
-    return I.context_windows(seeds, c, 1, 600)
+    c = t.rag_chunks.select("id", "source_table", "source_id", "chunk_index", "section_title", "text_content")
+    return I.context_windows(None, c, 1, 600)
 
 
 @book.add("SELECT 'R' || row_number() OVER (ORDER BY token_count DESC, id) AS ref, id, CASE WHEN coalesce(trim(citation), '') <> '' AND coalesce(trim(source_url), '') <> '' THEN 'traceable' WHEN coalesce(trim(source_url), '') <> '' THEN 'partial' ELSE 'missing' END AS status FROM rag_chunks WHERE token_count IS NOT NULL ORDER BY token_count DESC, id LIMIT 12")

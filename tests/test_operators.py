@@ -143,6 +143,45 @@ def test_snapshots_cover_the_whole_redacted_text(spark):
     assert {r["id"] for r in E.snapshots(df, "items", ["u3", "items:4", " "]).collect()} == {3, 4}
 
 
+def test_context_windows_against_a_loop(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    chunks, i = [], 0
+    for doc in range(12):
+        text = [rng.choice(words) for _ in range(160)]
+        for k in range(rng.randrange(1, 7)):
+            cut = k * 20 + rng.choice((0, 5))
+            chunks.append((i, "t", doc, k, rng.choice(("Facts", " facts", "Issues", None)), " ".join(text[cut : cut + rng.choice((12, 28, 60))])))
+            i += 1
+    chunks.append((i, "t", 99, 0, "Facts", "a b c d e f " * 40))
+
+    def merge(parts):
+        out = parts[0]
+        for p in parts[1:]:
+            n = next((n for n in range(min(len(out), len(p), 1200), 23, -1) if out[-n:] == p[:n]), 0)
+            out += ("" if n else "\n\n") + p[n:]
+        return out
+
+    tokens = lambda x: len(x.split())
+    home = lambda c: (c[4] or "").strip().lower()
+    want = {}
+    for s in chunks:
+        near = [c for c in chunks if c[2] == s[2] and abs(c[3] - s[3]) <= 2 and (c is s or not home(s) or not home(c) or home(c) == home(s))]
+        took, used = [], 0
+        for c in sorted(near, key=lambda c: (c is not s, abs(c[3] - s[3]), c[3])):
+            if used + tokens(c[5]) <= 100:
+                took, used = [*took, c], used + tokens(c[5])
+        if s in took:
+            took.sort(key=lambda c: c[3])
+            text = merge([c[5] for c in took])
+            want[s[0]] = (",".join(str(c[0]) for c in took), text, tokens(text))
+    df = spark.createDataFrame(chunks, "id bigint, source_table string, source_id bigint, chunk_index int, section_title string, text_content string")
+    got = {r["seed_id"]: (r["chunk_ids"], r["text"], r["tokens"]) for r in I.context_windows(None, df, 2, 100).collect()}
+    assert got == want and i not in want and any("\n\n" not in w[1] and "," in w[0] for w in want.values())
+    some = {r["seed_id"] for r in I.context_windows(df.filter("id < 5").select("id"), df, 2, 100).collect()}
+    assert some == {k for k in want if k < 5}
+
+
 def test_upserts_and_caps(spark):
     old = spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 1, "n"), (2, 4, "n"), (3, 0, "n")], "k int, v int, x string")
