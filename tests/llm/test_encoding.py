@@ -25,6 +25,14 @@ def test_twice_and_gbk():
     assert mend(zh.encode().decode("latin-1"))[:2] == (True, zh)
 
 
+def test_entities_of_damaged_text(spark):
+    bad = {1: "Montr&Atilde;&copy;al", 2: "l&acirc;&euro;&trade;appel", 3: "caf&#195;&#169;", 4: "&middot;&uml;&Ocirc;&ordm;&Egrave;&Iuml;&Icirc;&ordf;"}
+    good = {5: "Caf&eacute; &amp; th&eacute;", 6: "AT&T; R&D", 7: "&laquo;&nbsp;oui&nbsp;&raquo;", 8: "l&#8217;&eacute;t&eacute;", 9: "&copy;&nbsp;2020", 10: "&lt;p&gt;", 11: "na&iuml;ve &Eacute;cole", 12: "&pound;&nbsp;20", 13: "x&reg;&nbsp;i"}
+    df = spark.createDataFrame([*bad.items(), *good.items()], "id int, t string")
+    want = {1: "Montréal", 2: "l’appel", 3: "café", 4: "法院认为"}
+    assert {r["id"]: r["restored"] for r in restore(df, ["id"], "t").collect()} == want
+
+
 def test_passage_in_good_text():
     good = "Été – la décision.\n"
     assert mend(good + TEXTS[1].encode().decode("cp1252")) == (True, good + TEXTS[1], True)
