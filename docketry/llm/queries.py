@@ -140,6 +140,17 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p2_found, p2_pairs, p2_members, p3_found, p3_lists, p4_found, p4_restored, p5_found, p5_pieces, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_languages)}
 
+#: All pairs of usable vectors of one model; cells miss nothing where there are no more of them than each row probes (to sf0.01).
+_NEIGHBOURS = """
+        WITH v AS (
+            SELECT chunk_id, coalesce(embedding_model, '') AS m, embedding_vector::DOUBLE[] AS x FROM rag_chunk_embeddings
+            WHERE len(embedding_vector) = dimension AND len(list_filter(embedding_vector, lambda e: e IS NULL OR isnan(e))) = 0
+              AND len(list_filter(embedding_vector, lambda e: e <> 0)) > 0
+        ), p AS (
+            SELECT a.chunk_id, b.chunk_id AS neighbour, round(list_cosine_similarity(a.x, b.x), 6) AS cosine
+            FROM v a JOIN v b ON a.m = b.m AND a.chunk_id <> b.chunk_id
+        )"""
+
 ORACLE = {
     "p5_found": """
         SELECT 'source_items' AS tbl, id AS row_id FROM source_items WHERE length(raw_text) > 6000
@@ -154,15 +165,12 @@ ORACLE = {
             SELECT a.id AS item_a, b.id AS item_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
             FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id
         ) SELECT item_a, item_b FROM c WHERE k >= 0.5 * (na + nb - k)""",
-    "p3_lists": """
-        WITH v AS (
-            SELECT chunk_id, coalesce(embedding_model, '') AS m, embedding_vector::DOUBLE[] AS x FROM rag_chunk_embeddings
-            WHERE len(embedding_vector) = dimension AND len(list_filter(embedding_vector, lambda e: e IS NULL OR isnan(e))) = 0
-              AND len(list_filter(embedding_vector, lambda e: e <> 0)) > 0
-        ), p AS (
-            SELECT a.chunk_id, b.chunk_id AS neighbour, round(list_cosine_similarity(a.x, b.x), 6) AS cosine
-            FROM v a JOIN v b ON a.m = b.m AND a.chunk_id <> b.chunk_id
-        )
+    "p3_lists": _NEIGHBOURS
+    + """
         SELECT chunk_id, neighbour, cosine, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY cosine DESC, neighbour) AS INT) AS rank
         FROM p QUALIFY rank <= 5""",
+    "p3_found": _NEIGHBOURS
+    + """, k AS (
+            SELECT chunk_id, neighbour, cosine FROM p QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY cosine DESC, neighbour) <= 5
+        ) SELECT DISTINCT least(chunk_id, neighbour) AS chunk_a, greatest(chunk_id, neighbour) AS chunk_b FROM k WHERE cosine >= 0.70""",
 }

@@ -3,7 +3,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from docketry.llm.vectors import block_join, most_similar, pairs_found, quantised
+from docketry.llm import vectors
+from docketry.llm.vectors import block_join, exact_product, most_similar, pairs_found, quantised
 
 SCHEMA = "chunk_id bigint, embedding_model string, dimension int, embedding_vector array<float>"
 
@@ -49,7 +50,7 @@ def test_edges(spark):
 def test_block_join_bounds():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 24)).astype(np.float32)
-    r, d, c = block_join(x, np.arange(300), x, np.arange(300), 4, -1.0, tile=64)
+    r, d, c = block_join(x, x, np.arange(300), 4, -1.0, tile=64)
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     want = np.sort(np.round(u @ u.T, 6), axis=1)[:, ::-1][:, :4]
     assert np.abs(c.reshape(-1, 4) - want).max() < 2e-6
@@ -63,3 +64,46 @@ def test_recall_with_few_cells(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r["chunk_a"], r["chunk_b"]) for r in pairs_found(most_similar(df, "chunk_id", 3, 0.7, cell=60, probes=4), "chunk_id").collect()}
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_product_is_exact():
+    assert exact_product(vectors._product()) and exact_product(vectors._float_product)
+
+    def saturating(a, b):
+        a, b = a.astype(np.int32), b.astype(np.int32)
+        if a.shape[1] % 2:
+            return a @ b.T
+        pairs = a[:, None, ::2] * b[None, :, ::2] + a[:, None, 1::2] * b[None, :, 1::2]
+        return pairs.clip(-8000, 8000).sum(axis=2)
+
+    assert not exact_product(saturating)
+
+
+def test_extreme_rows():
+    rng = np.random.default_rng(4)
+    x = rng.choice([-1.0, 1.0], (200, 256)).astype(np.float32)
+    r, d, c = block_join(x, x, np.arange(200), 3, -1.0, tile=50)
+    u = x.astype(float) / 16
+    all_ = np.round(u @ u.T, 6)
+    want = [sorted((-all_[i, j], j) for j in range(200))[:3] for i in range(200)]
+    assert [(-v, j) for v, j in zip(c, d)] == [x for w in want for x in w]
+
+
+def test_parts_slices_and_kinds(spark, monkeypatch):
+    rows = sample(150)
+    want = brute(rows, 3)
+    monkeypatch.setattr(vectors, "PART_BYTES", 600)
+    assert run(spark, rows, cell=12, probes=99) == want
+    monkeypatch.setattr(vectors, "PART_BYTES", 1 << 20)
+    monkeypatch.setattr(vectors, "MOST_KINDS", 1)
+    monkeypatch.setattr(vectors, "PENDING", 10)
+    assert run(spark, rows, cell=30, probes=99) == want
+
+
+def test_many_copies(spark, monkeypatch):
+    same = [float(x) for x in range(1, 17)]
+    rows = sample(60) + [(1000 + i, "a", 16, same) for i in range(70)] + [(2000 + i, "b", 16, same) for i in range(9)]
+    want = brute(rows, 3)
+    assert run(spark, rows, cell=20, probes=99) == want
+    monkeypatch.setattr(vectors, "MOST_COPIED", 0)
+    assert run(spark, rows, cell=20, probes=99) == want
