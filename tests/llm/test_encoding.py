@@ -43,6 +43,33 @@ def test_genuine_text_is_left_alone():
         assert mend(t) == (False, t, True), t
 
 
+SCRIPTS = [
+    "안녕하세요 저는 학생입니다", "대한민국의 주권은 국민에게 있고, 모든 권력은 국민으로부터 나온다.", "개인정보보호법시행령일부개정령안", "법률", "民法(민법)과 刑法(형법)", "大韓民國憲法",
+    "とうきょう カタカナ", "日本国民は、正当に選挙された国会における代表者を通じて行動し、", "コンピュータ・プログラムの著作物", "ﾃｽﾄ ｶﾀｶﾅ", "のア",
+    "รัฐธรรมนูญแห่งราชอาณาจักรไทย", "يولد جميع الناس أحرارا متساوين", "כל בני אדם נולדו בני חורין", "सभी मनुष्यों को गौरव और अधिकारों", "மனிதப் பிறிவியினர்",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng", "Nguyễn Thị Hường", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι", "Все люди рождаются свободными", "Еелесаеи’s Estate",
+    "人人生而自由,在尊嚴和權利上一律平等。臺灣高等法院裁判書", "Zażółć gęślą jaźń", "Příliš žluťoučký kůň", "ŞİRKET İÇİN", "ყველა ადამიანი", "Բոլոր մարդիկ", "Great 👍🏽 work", "Smith v. 김철수", "東京 Tokyo 판결",
+]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_other_scripts_are_left_alone(text):
+    for t in (text, text.replace(" ", ""), f"({text})", f"The case {text} of 2020"):
+        assert mend(t) == (False, t, True), t
+
+
+@pytest.mark.parametrize("text", [t for t in SCRIPTS if not t.isascii() and "Smith" not in t])
+def test_other_scripts_are_restored(text):
+    bad = text.encode().decode("latin-1")
+    damaged, new, _ = mend(bad)
+    assert damaged and sum(a == b for a, b in zip(new, text)) >= 0.9 * len(text), new
+
+
+def test_chinese_read_as_korean():
+    for t in ("最高人民法院", "原告请求被告支付货款及利息"):
+        assert mend(t.encode("gbk").decode("cp949"))[:2] == (True, t)
+
+
 def test_lost_characters_count():
     assert mend("Lt�e") == (True, "Lt�e", False)
     assert mend("l\x92appel") == (True, "l’appel", True)
