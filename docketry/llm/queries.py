@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import canonical, encoding, language, mixing, neardup, packing, splitting, tokens, vectors
-from docketry.runtime import checkpoint, table
+from docketry.runtime import checkpoint, checkpoint_dir, table
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +78,15 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _damaged(spark, sf_dir)
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = splitting.split_text(table(spark, sf_dir, "source_items"), ["id"], "raw_text", 6000, 200)
-    chunks = splitting.split_text(table(spark, sf_dir, "rag_chunks"), ["id"], "text_content", 1800, 80)
+def _pieces(spark: SparkSession, sf_dir: str, pieces: bool = True) -> DataFrame:
+    items = splitting.split_text(table(spark, sf_dir, "source_items"), ["id"], "raw_text", 6000, 200, pieces=pieces)
+    chunks = splitting.split_text(table(spark, sf_dir, "rag_chunks"), ["id"], "text_content", 1800, 80, pieces=pieces)
     return items.withColumn("tbl", F.lit("source_items")).unionByName(chunks.withColumn("tbl", F.lit("rag_chunks"))).withColumnRenamed("id", "row_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that are cut: those with a first piece."""
-    return _pieces(spark, sf_dir).filter("chunk_index = 0").select("tbl", "row_id")
+    return _pieces(spark, sf_dir, pieces=False).filter("chunk_index = 0").select("tbl", "row_id")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,31 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("tbl", "row_id", "chunk_index", "start", "length", "piece")
 
 
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each cut item put together from its pieces, as a hash, and whether the pieces keep the limit and overlap."""
+    most = F.when(F.col("tbl") == "source_items", 6000).otherwise(1800)
+    over = F.when(F.col("tbl") == "source_items", 200).otherwise(80)
+    parts = _pieces(spark, sf_dir).withColumn("n", F.length("piece")).withColumn("fits", (F.col("n") <= most) & (F.col("n") == F.col("length")))
+    # the pieces of one item are together no longer than its own row
+    items = parts.groupBy("tbl", "row_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "piece", "fits"))).alias("l")).withColumn("over", over)
+    whole = F.aggregate("l", F.lit(""), lambda t, x: F.concat(t, F.when(x["chunk_index"] == 0, x["piece"]).otherwise(F.substring(x["piece"], F.col("over") + 1, F.length(x["piece"])))))
+    told = F.expr("forall(sequence(1, size(l) - 1), i -> left(get(l, i).piece, over) = right(get(l, i - 1).piece, over) and get(l, i).chunk_index = i)")
+    return items.select("tbl", "row_id", F.md5(whole).alias("text_hash"), F.expr("forall(l, x -> x.fits)").alias("within_limit"), told.alias("overlapping"))
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw texts written into a few files, a line each, and these cut by byte ranges: pieces, characters, longest piece."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    texts = table(spark, sf_dir, "source_items").select(F.regexp_replace("raw_text", r"[\r\n]+", " ").alias("value")).filter("value is not null")
+    texts.coalesce(4).write.text(folder)
+    paths = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path").collect()]
+    found = splitting.split_files(spark, [p.removeprefix("file:") for p in paths], 6000, 200, 1 << 20)
+    ends = found.groupBy("path").agg(F.max(F.col("start") + F.col("length")).alias("n_chars"), F.max("length").alias("longest"), (F.max("chunk_index") + 1 == F.count(F.lit(1))).alias("whole"), (F.sum("length") - 200 * (F.count(F.lit(1)) - 1)).alias("n_summed"))
+    return ends.agg(F.sum("n_chars").cast("bigint").alias("n_chars"), F.sum("n_summed").cast("bigint").alias("n_summed"), F.every(F.col("longest") <= 6000).alias("within_limit"), F.every("whole").alias("without_holes"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document, or part of one, for each profile."""
     sizes = checkpoint(tokens.token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -138,7 +163,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).withColumn("confidence", F.round("confidence", 4))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p2_found, p2_pairs, p2_members, p3_found, p3_lists, p4_found, p4_restored, p5_found, p5_pieces, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p2_found, p2_pairs, p2_members, p3_found, p3_lists, p4_found, p4_restored, p5_found, p5_pieces, p5_rebuilt, p5_files, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_languages)}
 
 #: All pairs of usable vectors of one model; cells miss nothing where there are no more of them than each row probes (to sf0.01).
 _NEIGHBOURS = """
@@ -155,6 +180,13 @@ ORACLE = {
     "p5_found": """
         SELECT 'source_items' AS tbl, id AS row_id FROM source_items WHERE length(raw_text) > 6000
         UNION ALL SELECT 'rag_chunks', id FROM rag_chunks WHERE length(text_content) > 1800""",
+    "p5_rebuilt": """
+        SELECT 'source_items' AS tbl, id AS row_id, md5(raw_text) AS text_hash, true AS within_limit, true AS overlapping FROM source_items WHERE length(raw_text) > 6000
+        UNION ALL SELECT 'rag_chunks', id, md5(text_content), true, true FROM rag_chunks WHERE length(text_content) > 1800""",
+    "p5_files": """
+        SELECT CAST(sum(length(regexp_replace(raw_text, '[\\r\\n]+', ' ', 'g')) + 1) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(raw_text, '[\\r\\n]+', ' ', 'g')) + 1) AS BIGINT) AS n_summed,
+            true AS within_limit, true AS without_holes
+        FROM source_items WHERE raw_text IS NOT NULL""",
     "p2_found": r"""
         WITH w AS (
             SELECT id, list_filter(regexp_extract_all(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(raw_text, '')), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM source_items

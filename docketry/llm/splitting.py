@@ -1,12 +1,13 @@
 """Oversized items cut at natural boundaries (problem 5).
 
 An item is worked on in ranges of its characters (a column) or bytes (a file).
-Each worker sees its range and a halo of one piece on either side. The place
-where one range's pieces end and the next one's begin, its anchor, depends only
-on the first piece length of the next range, which both workers see; so the
-ranges are cut independently and no worker ever holds a whole giant item. The
-number and length of each range's pieces form a small boundary table per item;
-its prefix sums number the pieces and give their offsets.
+Each range is cut with no more in sight than a halo of one piece on either side.
+The place where one range's pieces end and the next one's begin, its anchor,
+depends only on the first piece length of the next range, which both see; so the
+ranges are cut independently, those of a file by different workers, none of which
+ever holds a whole giant file. The number and length of each range's pieces form
+a small boundary table per item; its prefix sums number the pieces and give their
+offsets.
 
 Cuts go, within the second half of what may still be taken, at the last heading,
 else the last paragraph end, numbered item, line, sentence or clause, space, and
@@ -18,14 +19,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.runtime import widen
+from docketry.runtime import checkpoint, spread, widen
 
-#: Characters (or bytes of a file) in one worker's range.
+#: Bytes of a file in one worker's range.
 RANGE = 1 << 20
+#: Characters of values whose pieces go to the JVM at once.
+OUTPUT = 8 << 20
 
 _HEADING = re.compile(
     r"(?:(?<=\n)|(?<=>))(?=[ \t]*(?:(?:PART|PARTIE|CHAPTER|CHAPITRE|TITLE|TITRE|SCHEDULE|ANNEXE?|TEIL|PARTE)\b[^\n]{0,80}(?:\n|$)|第[一二三四五六七八九十百\d]+[章部编編节節]|部分|<h[1-6]|#{1,6} |[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ0-9 ,’'&–—-]{3,79}\r?(?:\n|$)))"
@@ -87,7 +91,34 @@ def anchor(text: str, low: int, limit: int, overlap: int) -> int:
     return boundary(text, low, min(len(text), low + max(2, (limit - overlap) // 2)))
 
 
-def split_text(rows: DataFrame, keys: list[str], column: str, limit: int, overlap: int, span: int = RANGE) -> DataFrame:
+def ranged_cuts(text: str, limit: int, overlap: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of a value begin and end, its overlaps included, cut range by range.
+
+    Each range sees only itself and its halos, as in a file. Their boundary table
+    (pieces of each range) gives the pieces' numbers by its prefix sums.
+    """
+    before, after = overlap + 200, limit + 200
+    table: list[list[int]] = []
+    starts: list[int] = []
+    n = (len(text) - 1) // span + 1
+    for k in range(n):
+        base = max(0, k * span - before)
+        part = text[base : (k + 1) * span + after]
+        start = anchor(part, k * span - base, limit, overlap) if k else 0
+        end = len(text) - base if k == n - 1 else anchor(part, (k + 1) * span - base, limit, overlap)
+        starts.append(start + base)
+        table.append([c + base for c in cuts(part, start, end, limit, overlap, first=k == 0)])
+    first = np.concatenate([[0], np.cumsum([len(t) for t in table])])
+    ends = np.empty(first[-1], dtype=np.int64)
+    begins = np.empty(first[-1], dtype=np.int64)
+    for k, t in enumerate(table):
+        ends[first[k] : first[k + 1]] = t
+        begins[first[k] : first[k + 1]] = [starts[k], *t[:-1]][: len(t)]
+    begins[1:] -= overlap
+    return begins, ends
+
+
+def split_text(rows: DataFrame, keys: list[str], column: str, limit: int, overlap: int, span: int | None = None, pieces: bool = True) -> DataFrame:
     """Pieces of every value of ``column`` longer than ``limit`` characters (code points).
 
     Returns (keys, chunk_index, start, length, piece): chunk_index counts from 0
@@ -96,60 +127,39 @@ def split_text(rows: DataFrame, keys: list[str], column: str, limit: int, overla
     starts with the last ``overlap`` characters of the one before; without the
     overlaps the pieces give back the value. Null, empty and short values give
     no row; repeated keys are cut each on their own; other columns are ignored.
+    ``span`` is the characters of a range, 4 * ``limit`` unless given. Without
+    ``pieces`` only numbers and offsets come out. One map, no shuffle: a value is
+    on one worker anyway, which goes through its ranges.
     """
+    span = span or 4 * limit
     if not 0 <= 2 * overlap < limit or span < 2 * limit:
         raise ValueError("need 2 * overlap < limit and 2 * limit <= span")
     names = [f"_k{i}" for i in range(len(keys))]
-    size = F.length("_text")
-    picked = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(column).cast("string").alias("_text")).filter(size > limit)
-    picked = widen(picked).withColumn("_size", size).withColumn("_row", F.when(F.col("_size") > span, F.xxhash64(*names, "_text").cast("string")))
-    halo_before, halo_after = overlap + 200, limit + 200
-    ranged = picked.select(*names, "_row", "_size", "_text", F.explode(F.sequence(F.lit(0), ((F.col("_size") - 1) / span).cast("int"))).alias("_range"))
-    low = F.greatest(F.lit(0), F.col("_range") * span - halo_before)
-    ranged = ranged.select(*names, "_row", "_size", "_range", low.alias("_low"), F.when(F.col("_size") <= span, F.col("_text")).otherwise(F.expr(f"substring(_text, greatest(0, _range * {span} - {halo_before}) + 1, least(_size, (_range + 1) * {span} + {halo_after}) - greatest(0, _range * {span} - {halo_before}))")).alias("_part"))
+    picked = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(column).cast("string").alias("_text")).filter(F.length("_text") > limit)
+    columns = ["chunk_index", "start", "length", *["piece"] * pieces]
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in (*names, "_row", "_range", "_no", "_begin", "_end", "piece")}
-            for r in batch.to_dict("records"):
-                text, base, k = r["_part"], r["_low"], r["_range"]
-                size, last = r["_size"], (r["_range"] + 1) * span >= r["_size"]
-                start = anchor(text, k * span - base, limit, overlap) if k else 0
-                end = size - base if last else anchor(text, (k + 1) * span - base, limit, overlap)
-                begin = start
-                for no, cut in enumerate(cuts(text, start, end, limit, overlap, first=k == 0)):
-                    lead = overlap if no or k else 0
-                    for n in (*names, "_row"):
-                        out[n].append(r[n])
-                    out["_range"].append(k)
-                    out["_no"].append(no)
-                    out["_begin"].append(base + begin - lead)
-                    out["_end"].append(base + cut)
-                    out["piece"].append(text[begin - lead : cut])
-                    begin = cut
-            if out["_no"]:
-                yield pd.DataFrame(out)
+            held: list[pd.DataFrame] = []
+            size = 0
+            for at, text in enumerate(batch["_text"]):
+                begins, ends = ranged_cuts(text, limit, overlap, span)
+                out = pd.DataFrame({"chunk_index": np.arange(len(ends), dtype=np.int32), "start": begins, "length": (ends - begins).astype(np.int32)})
+                if pieces:
+                    out["piece"] = [text[x:y] for x, y in zip(begins.tolist(), ends.tolist())]
+                for i, n in enumerate(names):
+                    out.insert(i, n, [batch[n].iloc[at]] * len(out))
+                held.append(out)
+                size += len(text)
+                if size > OUTPUT:
+                    yield pd.concat(held)
+                    held, size = [], 0
+            if held:
+                yield pd.concat(held)
 
     kinds = dict(picked.dtypes)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", _row string, _range int, _no int, _begin bigint, _end bigint, piece string"
-    return _numbered(ranged.mapInPandas(work, schema), names, keys)
-
-
-def _numbered(pieces: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """Number the pieces: by the prefix sums of the ranges' counts where an item has several ranges.
-
-    The table of counts has one row for each range of a giant item; items of a
-    single range take no part in its shuffle or join.
-    """
-    told = [F.col(n).alias(k) for n, k in zip(names, keys)]
-    body = ["_begin", "_end", "piece"]
-    single = pieces.filter(F.col("_row").isNull()).select(*names, F.col("_no").alias("chunk_index"), *body)
-    giant = pieces.filter(F.col("_row").isNotNull())
-    # max instead of count: equal rows are cut alike and must not add to each other's numbers
-    counts = giant.groupBy("_row", "_range").agg((F.max("_no") + 1).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_row").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_row", "_range", before.alias("_before"))
-    several = giant.join(offsets, ["_row", "_range"]).select(*names, (F.col("_no") + F.col("_before")).cast("int").alias("chunk_index"), *body)
-    return single.unionByName(several).select(*told, "chunk_index", F.col("_begin").alias("start"), (F.col("_end") - F.col("_begin")).cast("int").alias("length"), "piece")
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", chunk_index int, start bigint, length int" + ", piece string" * pieces
+    return widen(picked).mapInPandas(work, schema).select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *columns)
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, span: int = RANGE) -> DataFrame:
@@ -162,12 +172,18 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
     """
     from pyarrow import fs
 
-    sized = []
-    for p in paths:
-        system, inner = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p)
-        sized.append((p, system.get_file_info(inner).size))
-    ranges = spark.createDataFrame(sized, "path string, size bigint").filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) div {span}"))).alias("_range"))
-    n = max(1, min(10_000, sum(s // span + 1 for _, s in sized)))
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for p in batch["path"]:
+                system, inner = fs.FileSystem.from_uri(p) if "://" in p else (fs.LocalFileSystem(), p)
+                found.append(system.get_file_info(inner).size)
+            yield batch.assign(size=pd.Series(found, dtype="float64").fillna(0).astype("int64").to_numpy())
+
+    # the listing is a job of its own; a row per range is then spread over the workers
+    sized = checkpoint(spread(spark.createDataFrame([(p,) for p in paths], "path string")).mapInPandas(sizes, "path string, size bigint").filter("size > 0"))
+    ranges = sized.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(size - 1) div {span}"))).alias("_range"))
+    n = max(1, min(10_000, ranges.count()))
     before, after = 4 * (overlap + 200), 4 * (limit + 200)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

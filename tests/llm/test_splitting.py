@@ -40,7 +40,8 @@ def test_round_trip(spark, span):
 
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, prose(5_000)), (1, prose(5_000))], "id bigint, t string")
-    for span in (1 << 20, 1_500):
+    assert split_text(df, ["id"], "t", 600, 50, pieces=False).columns == ["id", "chunk_index", "start", "length"]
+    for span in (1 << 20, 1_500, None):
         rows = split_text(df, ["id"], "t", 600, 50, span).collect()
         assert len(rows) == 2 * len({r["chunk_index"] for r in rows})
     assert split_text(df.limit(0), ["id"], "t", 600, 50).count() == 0
