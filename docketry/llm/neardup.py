@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ SHINGLE, LEAST_TOKENS, THRESHOLD = 3, 40, 0.5
 #: Coordinates of a signature, minima in each, and agreements that make a candidate.
 #: At a similarity of 0.5 a pair is missed with probability 0.013, at 0.6 with 0.0001.
 COORDINATES, ROWS, MATCHES = 48, 3, 2
+#: Records of a list from which it is merged in slices.
+LONG = 2_000
+#: Records in pairs up to which their ids are broadcast (8 bytes each).
+MOST_SENT = 1_000_000
 
 _TOKEN = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -109,12 +114,15 @@ def signatures(rows: DataFrame, key: str, text, width: int = SHINGLE, least: int
     return picked.mapInPandas(look, f"_id {dict(picked.dtypes)['_id']}, _class binary, _sig array<bigint>")
 
 
-def candidates(signed: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def candidates(signed: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES, long: int = LONG) -> DataFrame:
     """Pairs (_a < _b) of ids that agree in at least ``matches`` coordinates.
 
     ``signed`` has one row per class: (_id, _sig). The postings of coordinates
-    shared by two records or more are kept with the length of their list; each
-    record's prefix is chosen among them by that length.
+    shared by two records or more are kept with the length of their list, and
+    each record's prefix is chosen among them by that length. Lists are merged
+    prefix with prefix, and prefix with the few postings beyond it; of a value
+    that is beyond the prefix of all its records no pair is ever made. A list of
+    more than ``long`` records is merged in as many slices.
     """
     posts = signed.select("_id", F.explode("_sig").alias("_value"))
     shared = posts.groupBy("_value").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
@@ -123,34 +131,73 @@ def candidates(signed: DataFrame, coordinates: int = COORDINATES, matches: int =
     alone = F.lit(coordinates) - F.count(F.lit(1)).over(Window.partitionBy("_id"))
     rank = F.row_number().over(Window.partitionBy("_id").orderBy("_df", "_value"))
     kept = kept.withColumn("_in", rank + alone <= coordinates - matches + 1)
+    # at most matches - 1 values of a record are beyond its prefix
     kept = kept.withColumn("_out", F.collect_list(F.when(~F.col("_in"), F.col("_value"))).over(Window.partitionBy("_id")))
-    a = kept.select("_value", F.col("_id").alias("_a"), F.col("_in").alias("_ia"), F.col("_out").alias("_oa"))
-    b = kept.select("_value", F.col("_id").alias("_b"), F.col("_in").alias("_ib"), F.col("_out").alias("_ob"))
-    hits = a.join(b, "_value").filter("_a < _b and (_ia or _ib)")
-    counted = hits.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("_ia") & F.col("_ib")).alias("_both"), F.first(F.size(F.array_intersect("_oa", "_ob"))).alias("_rest"))
-    # a pair must meet in both prefixes; agreements of lists skipped by both are added
+    kept = checkpoint(kept.select("_id", "_value", "_in", "_out", F.ceil(F.col("_df") / F.lit(long)).cast("int").alias("_slices")))
+    slice_of = F.pmod(F.xxhash64("_id"), F.col("_slices")).cast("int").alias("_slice")
+    every = F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice")
+
+    def merged(left: DataFrame, right: DataFrame, both: bool) -> DataFrame:
+        # the left postings go to every slice of their list, the right ones to their own
+        a = left.select("_value", every, F.col("_id").alias("_x"), F.col("_out").alias("_ox"))
+        b = right.select("_value", slice_of, F.col("_id").alias("_y"), F.col("_out").alias("_oy"))
+        hits = a.join(b, ["_value", "_slice"]).filter("_x < _y" if both else "_x <> _y")
+        return hits.select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b"), F.lit(both).alias("_both"), F.size(F.array_intersect("_ox", "_oy")).alias("_rest"))
+
+    prefix = kept.filter("_in")
+    hits = merged(prefix, prefix, True)
+    if matches > 1:
+        hits = hits.unionByName(merged(prefix, kept.filter("not _in"), False))
+    counted = hits.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"), F.max("_both").alias("_both"), F.max("_rest").alias("_rest"))
+    # a pair must meet in both prefixes; agreements beyond both are added
     return counted.filter(F.col("_both") & (F.col("_n") + F.col("_rest") >= matches)).select("_a", "_b")
 
 
+def _zipped(text: str) -> bytes:
+    return pa.compress(text.encode(), codec="zstd", asbytes=True)
+
+
 def verified(rows: DataFrame, key: str, text, pairs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """(_a, _b, similarity) of the pairs whose exact Jaccard coefficient reaches ``threshold``.
 
-    Only records that are in a pair are read again and sent, with their hashed shingles.
+    The texts are read once more, those of records in a pair are sent compressed
+    to their pairs, and the shingles are made where the pair is compared. The ids
+    of these records are broadcast up to MOST_SENT; more are joined by a shuffle.
     """
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
+    kind = dict(pairs.dtypes)["_a"]
+    wanted = checkpoint(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct())
+    wanted = F.broadcast(wanted) if kind in ("bigint", "int") and wanted.count() <= MOST_SENT else wanted
     texts = rows.select(F.col(key).alias("_id"), text.alias("_text")).join(wanted, "_id", "left_semi")
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, width, 0) for t in batch["_text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "_set": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"_id": batch["_id"], "_zip": [_zipped(t) for t in batch["_text"]], "_size": [len(t.encode()) for t in batch["_text"]]})
 
-    kind = dict(pairs.dtypes)["_a"]
-    sets = texts.mapInPandas(look, f"_id {kind}, _set array<bigint>")
-    both = pairs.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_sa")), "_a").join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_sb")), "_b")
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    both = both.select("_a", "_b", common.alias("_c"), (F.size("_sa") + F.size("_sb")).alias("_t"))
-    return both.withColumn("similarity", F.col("_c") / (F.col("_t") - F.col("_c"))).filter(F.col("similarity") >= threshold).select("_a", "_b", "similarity")
+    # rows that repeat a key have the same text; both joins use the one shuffle that leaves a row for each key
+    sent = checkpoint(texts.mapInPandas(zipped, f"_id {kind}, _zip binary, _size int")).dropDuplicates(["_id"])
+    left, right = (sent.select(F.col("_id").alias(f"_{x}"), F.col("_zip").alias(f"_z{x}"), F.col("_size").alias(f"_n{x}")) for x in "ab")
+    both = pairs.join(left, "_a").join(right, "_b")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            out = []
+
+            def of(i, z, n) -> np.ndarray:
+                if i not in held:
+                    if len(held) > 500:
+                        held.clear()
+                    held[i] = shingles(pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True).decode(), width, 0)
+                return held[i]
+
+            for r in batch.itertuples(index=False):
+                x, y = of(r[0], r[2], r[3]), of(r[1], r[4], r[5])
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(common / (len(x) + len(y) - common))
+            yield pd.DataFrame({"_a": batch["_a"], "_b": batch["_b"], "similarity": out})
+
+    both = both.select("_a", "_b", "_za", "_na", "_zb", "_nb")
+    return both.mapInPandas(compare, f"_a {kind}, _b {kind}, similarity double").filter(F.col("similarity") >= threshold)
 
 
 def near_duplicates(rows: DataFrame, key: str, text, threshold: float = THRESHOLD, width: int = SHINGLE, least: int = LEAST_TOKENS) -> tuple[DataFrame, DataFrame]:

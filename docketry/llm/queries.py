@@ -165,6 +165,14 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p2_found, p2_pairs, p2_members, p3_found, p3_lists, p4_found, p4_restored, p5_found, p5_pieces, p5_rebuilt, p5_files, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_languages)}
 
+#: The distinct shingles of every record of 40 tokens or more.
+_SHINGLES = r"""
+        WITH w AS (
+            SELECT id, list_filter(regexp_extract_all(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(raw_text, '')), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM source_items
+        ), s AS (
+            SELECT id, list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM w WHERE len(t) >= 40
+        )"""
+
 #: All pairs of usable vectors of one model; cells miss nothing where there are no more of them than each row probes (to sf0.01).
 _NEIGHBOURS = """
         WITH v AS (
@@ -187,16 +195,19 @@ ORACLE = {
         SELECT CAST(sum(length(regexp_replace(raw_text, '[\\r\\n]+', ' ', 'g')) + 1) AS BIGINT) AS n_chars, CAST(sum(length(regexp_replace(raw_text, '[\\r\\n]+', ' ', 'g')) + 1) AS BIGINT) AS n_summed,
             true AS within_limit, true AS without_holes
         FROM source_items WHERE raw_text IS NOT NULL""",
-    "p2_found": r"""
-        WITH w AS (
-            SELECT id, list_filter(regexp_extract_all(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(raw_text, '')), '([\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM source_items
-        ), s AS (
-            SELECT id, list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM w WHERE len(t) >= 40
-        ), e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM s),
+    "p2_found": _SHINGLES
+    + """, e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM s),
         c AS (
             SELECT a.id AS item_a, b.id AS item_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
             FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id
         ) SELECT item_a, item_b FROM c WHERE k >= 0.5 * (na + nb - k)""",
+    "p2_members": _SHINGLES + " SELECT id, min(id) OVER (PARTITION BY list_sort(g)) AS class_id FROM s",
+    "p2_pairs": _SHINGLES
+    + """, r AS (SELECT min(id) AS id, list_sort(g) AS g FROM s GROUP BY list_sort(g)), e AS (SELECT id, len(g) AS n, unnest(g) AS x FROM r),
+        c AS (
+            SELECT a.id AS class_a, b.id AS class_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+            FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id
+        ) SELECT class_a, class_b, round(k / (na + nb - k), 6) AS similarity FROM c WHERE k >= 0.5 * (na + nb - k)""",
     "p3_lists": _NEIGHBOURS
     + """
         SELECT chunk_id, neighbour, cosine, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY cosine DESC, neighbour) AS INT) AS rank

@@ -62,7 +62,15 @@ def test_candidates_count_all_agreements(spark):
     df = spark.createDataFrame(sigs, "_id bigint, _sig array<bigint>")
     for m in (1, 2, 5, 8):
         slow = {(a, b) for a, x in sigs for b, y in sigs if a < b and sum(p == q for p, q in zip(x, y)) >= m}
-        assert {(r["_a"], r["_b"]) for r in candidates(df, 12, m).collect()} == slow
+        for long in (2_000, 5):
+            assert {(r["_a"], r["_b"]) for r in candidates(df, 12, m, long).collect()} == slow
+
+
+def test_a_phrase_in_every_record(spark):
+    phrase = " ".join(f"stock{i}" for i in range(25))
+    rows = [(k, t, f"{phrase} {r}") for k, t, r in corpus()] + [(k + 1000, "U", f"{phrase} " + " ".join(words(random.Random(k), 60))) for k in range(60)]
+    want, got = brute(rows), found(spark, rows)
+    assert got <= want and len(got) >= 0.97 * len(want)
 
 
 def test_signature_estimates_similarity():
