@@ -2,12 +2,14 @@
 
 A symmetric-delete dictionary over the reference names is built once on the
 driver, from a reference list whose size is checked first, and broadcast. Every
-value is looked up by the deletes of its own spelling (edit distance up to 2)
-and the hits are ranked by a weighted Damerau-Levenshtein cost; how often a
-reference row is already linked orders what is reported for equal costs. The
-pass over the values is a map: no shuffle, so a value that holds a third of all
-rows costs nothing extra. A longer reference list is worked through in blocks of
-the checked size, whose best candidates are then merged per row.
+value is looked up by the deletes of the beginning of its own spelling (edit
+distance up to 2) and the hits are ranked by a weighted Damerau-Levenshtein cost,
+then by how often a reference row is linked already. A value that one row fits
+is mapped to it; of several that fit equally well the first by that rank is
+reported beside the miss. The pass over the values is a map: no shuffle, so a
+value that holds a third of all rows costs nothing extra. A longer reference list
+is worked through in blocks of the checked size, over distinct values; their
+candidates are merged and chosen among as those of one dictionary are.
 
 Names are compared by their core, the words without the kind of law, the year
 and any remark; kind and year then choose among the rows that share a core.
@@ -22,14 +24,13 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docketry.runtime import checkpoint, rows_up_to, widen
 
@@ -37,6 +38,16 @@ from docketry.runtime import checkpoint, rows_up_to, widen
 MAX_REFERENCE = 20_000
 #: Distinct values a task remembers.
 MEMORY = 50_000
+#: Letters of a core of which deletes are made: two names within two edits have beginnings within two.
+PREFIX = 16
+#: Distinct words of a long reference list that the driver may hold.
+MAX_WORDS = 2_000_000
+#: Costs so close that kind and year decide between them.
+CLOSE = 0.08
+#: Parts into which the rows of one value are spread where results are joined to them.
+SALTS = 32
+#: How a value was read, the surest first: a whole name, a whole core, a misspelt core, a citation, a beginning.
+WHOLE, CORE, NEAR, CITED, CUT = range(5)
 
 #: Words for kinds of law, each with the kind it stands for.
 KINDS = {
@@ -64,10 +75,13 @@ _YEAR = re.compile(r"\b(1[89]\d\d|20\d\d)\b")
 _CITE = re.compile(r"(?:[a-z0-9] ?){1,6}?(?:reg )?\d{2,4} ?(?:c ?)?\d{2,5}|sor ?\d+ ?\d+")
 _RESPECTING = re.compile(r"^(an )?(\w+) (respecting|concerning|relating to|regarding|to provide for)\b ?(the )?")
 _SPACE = re.compile(r" +")
+_PLAIN = re.compile(r"[^a-z0-9()]+")
 
 
 def plain(text: str) -> str:
     """Lower-case words without accents or punctuation; brackets stay."""
+    if text.isascii():
+        return _PLAIN.sub(" ", text.lower()).strip()
     text = unicodedata.normalize("NFKD", text.replace("’", "'").replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("æ", "ae").replace("œ", "oe"))
     text = "".join(c for c in text if not unicodedata.combining(c)).lower()
     return _SPACE.sub(" ", "".join(c if c.isalnum() or c in "()" else " " for c in text)).strip()
@@ -148,6 +162,11 @@ def _hashes(words: Iterable[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64)
 
 
+def _bag(word: str) -> np.ndarray:
+    """How often each letter occurs, letters folded into 32 counts."""
+    return np.bincount(np.frombuffer(word.encode("utf-32-le"), np.uint32) & 31, minlength=32).astype(np.int16)
+
+
 @dataclass
 class Parsed:
     """What a name says: cores (each with the cost of reading it so), kinds, years."""
@@ -159,6 +178,7 @@ class Parsed:
     cut: str = ""
 
 
+@lru_cache(maxsize=100_000)
 def _kind_of(word: str) -> tuple[str, float]:
     if word in KINDS:
         return KINDS[word], 0.0
@@ -269,7 +289,7 @@ class Dictionary:
     """The reference rows as a symmetric-delete dictionary that can be pickled."""
 
     def __init__(self, rows: Iterable[tuple[int, list[str], list[str]]], linked: dict[int, int] | None = None, words: Iterable[str] = ()) -> None:
-        """rows: (id, names, citations); linked: how many rows link to an id already; words: known besides the rows' own."""
+        """rows: (id, names, citations); linked: how many rows link to an id already; words: those of all names, if rows are not all."""
         self.linked = linked or {}
         self.exact: dict[str, set[int]] = defaultdict(set)
         self.whole: dict[str, set[int]] = defaultdict(set)
@@ -312,10 +332,11 @@ class Dictionary:
         self.whole_terms = len(cores)
         self.laws = [frozenset(cores.get(t) or short[t]) for t in self.terms]
         self.at = {t: i for i, t in enumerate(self.terms)}
+        self.bags = np.stack([_bag(t) for t in self.terms]) if self.terms else np.zeros((0, 32), np.int16)
         self.names = sorted(self.whole)
         words, which = [], []
         for i, t in enumerate(self.terms):
-            found = deletes(t, int(min(allowed(len(t)), 2 if i < self.whole_terms else 1)))
+            found = deletes(t[:PREFIX], int(min(allowed(len(t)), 2 if i < self.whole_terms else 1)))
             words.append(_hashes(found))
             which.append(np.full(len(words[-1]), i, dtype=np.int32))
         hashes = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -350,26 +371,19 @@ class Dictionary:
         depth = int(allowed(len(core)))
         if not depth or not len(self.hashes):
             return {}
-        keys = _hashes(deletes(core, depth))
-        lo, hi = np.searchsorted(self.hashes, keys), np.searchsorted(self.hashes, keys, "right")
-        hits = {int(x) for a, b in zip(lo[hi > lo], hi[hi > lo]) for x in self.which[a:b]}
+        keys = _hashes(deletes(core[:PREFIX], depth))
+        lo = np.searchsorted(self.hashes, keys)
+        there = self.hashes[np.minimum(lo, len(self.hashes) - 1)] == keys
+        lo, hi = lo[there], np.searchsorted(self.hashes, keys[there], "right")
+        hits = np.unique(np.concatenate([self.which[a:b] for a, b in zip(lo, hi)])) if len(lo) else self.which[:0]
         most = allowed(len(core))
+        # an edit costs 0.6 at least and changes two counts of letters at most
+        hits = hits[np.abs(self.bags[hits] - _bag(core)).sum(axis=1) <= 2 * int(most / 0.6)].tolist()
         found = {i: cost(core, self.terms[i], most if i < self.whole_terms else 1.0) + 0.4 * (i >= self.whole_terms) for i in hits}
         return {i: c for i, c in found.items() if c <= most}
 
-    def _fit(self, laws: Iterable[int], kind: str, year: str) -> set[int]:
-        """Of rows that share a name's core, those that agree best with its kind and year."""
-        left = set(laws)
-        if year and (same := {k for k in left if year in self.years.get(k, ())}):
-            left = same
-        elif not year and len(left) > 1 and kind and (same := {k for k in left if kind in self.kinds.get(k, ())}):
-            left = same
-        if kind and len(left) > 1 and (same := {k for k in left if kind in self.kinds.get(k, ())}):
-            left = same
-        return left
-
-    def candidates(self, value: str) -> list[tuple[float, int]]:
-        """The best candidates as (cost, id), ordered by cost, then by most linked, then by id."""
+    def candidates(self, value: str) -> list[tuple[int, float, int, int, bool, bool]]:
+        """What may be meant: (how, cost, links, id, whether the value's year, its kind is the row's), not chosen among yet."""
         if value in self._memory:
             return self._memory[value]
         found = self._candidates(value)
@@ -378,14 +392,18 @@ class Dictionary:
         self._memory[value] = found
         return found
 
-    def _candidates(self, value: str) -> list[tuple[float, int]]:
+    def _candidates(self, value: str) -> list[tuple[int, float, int, int, bool, bool]]:
         words = plain(value)
         key = _scan(squash(words))
         if not key:
             return []
-        ranked = lambda laws, c: sorted(((c, k) for k in laws), key=lambda x: (x[0], -self.linked.get(x[1], 0), x[1]))
+
+        def told(how: int, laws: dict[int, float], kind: str = "", year: str = "") -> list:
+            least = min(laws.values())
+            return [(how, c, self.linked.get(k, 0), k, bool(year) and year in self.years.get(k, ()), bool(kind) and kind in self.kinds.get(k, ())) for k, c in laws.items() if c <= least + CLOSE]
+
         if key in self.exact:
-            return ranked(self.exact[key], 0.0)
+            return told(WHOLE, dict.fromkeys(self.exact[key], 0.0))
         p = parse(value)
         best: dict[int, float] = {}
         read = p.cores
@@ -393,16 +411,15 @@ class Dictionary:
             read = sure
         for core, extra in read.items():
             if core in self.exact and core not in self.at:
-                for k in self._fit(self.exact[core], p.kind, p.year):
+                for k in self._agreeing(self.exact[core], p.kind, p.year):
                     best[k] = min(best.get(k, 9.0), extra)
             for i, c in self.near(core).items():
                 for k in self.laws[i]:
                     best[k] = min(best.get(k, 9.0), c + extra)
         if best:
-            least = min(best.values())
-            return ranked(self._fit([k for k, c in best.items() if c <= least + 0.08], p.kind, p.year), least)
+            return told(CORE if sure else NEAR, best, p.kind, p.year)
         if cited := self._cited(words):
-            return ranked(cited, 0.0)
+            return told(CITED, dict.fromkeys(cited, 0.0))
         if p.cut and len(p.cut) >= 6:
             at = bisect.bisect_left(self.names, p.cut)
             laws: set[int] = set()
@@ -410,9 +427,13 @@ class Dictionary:
                 laws |= self.whole[self.names[at]]
                 at += 1
             if laws:
-                return ranked(laws, 0.5)
+                return told(CUT, dict.fromkeys(laws, 0.5))
         return []
 
+    def _agreeing(self, laws: Iterable[int], kind: str, year: str) -> set[int]:
+        rows = [(NEAR, 0.0, 0, k, bool(year) and year in self.years.get(k, ()), bool(kind) and kind in self.kinds.get(k, ())) for k in laws]
+        return {r[3] for r in fitting(rows)}
+
     def _cited(self, words: str) -> set[int]:
         """Rows whose citation ends or is a run of the value's words."""
         parts = words.replace("(", " ").replace(")", " ").split()
@@ -426,6 +447,26 @@ class Dictionary:
         return found
 
 
+def fitting(found: Iterable[tuple[int, float, int, int, bool, bool]]) -> list[tuple[int, float, int, int, bool, bool]]:
+    """Of candidates, of one dictionary or several, those that fit equally well, ranked by cost, links and id.
+
+    The surest reading counts alone; within it, costs up to CLOSE above the
+    least are alike, and rows that share the value's year, then its kind, go
+    before the others.
+    """
+    rows = list(found)
+    if not rows:
+        return []
+    how = min(r[0] for r in rows)
+    rows = [r for r in rows if r[0] == how]
+    least = min(r[1] for r in rows)
+    rows = [r for r in rows if r[1] <= least + CLOSE]
+    for agrees in (4, 5):
+        if len(rows) > 1 and (same := [r for r in rows if r[agrees]]):
+            rows = same
+    return sorted(rows, key=lambda r: (r[1], -r[2], r[3]))
+
+
 def reference_rows(laws: Iterable) -> list[tuple[int, list[str], list[str]]]:
     """(id, names, citations) of rows with title, normalized_title, citation, aliases_json.
 
@@ -444,65 +485,89 @@ def reference_rows(laws: Iterable) -> list[tuple[int, list[str], list[str]]]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _core_words(titles: pd.Series) -> pd.Series:
-    """The words of each title's core; rows that differ in kind or year have the same."""
+def _words(laws: Iterable) -> set[str]:
+    """The words of the cores of all names of some reference rows."""
+    return {w for row in reference_rows(laws) for name in row[1] if name and name.strip() and (p := parse(name)).kind for c, e in p.cores.items() if e == min(p.cores.values()) for w in p.bodies[c].split()}
 
-    def one(title: str | None) -> list[str]:
-        p = parse(title or "")
-        return p.bodies[min(p.cores, key=lambda c: (p.cores[c], c))].split() if p.cores else []
 
-    return titles.map(one)
+_CANDIDATE = "array<struct<how: int, cost: double, links: bigint, id: bigint, year: boolean, kind: boolean>>"
 
 
 def map_to_reference(values: DataFrame, reference: DataFrame, key: str, value: str, linked: DataFrame | None = None, max_reference: int = MAX_REFERENCE) -> DataFrame:
     """Map each row of ``values`` to the one reference row its value names.
 
-    Returns (key, law_id, cost, n_fit): law_id is -1 and cost null where no
-    reference row, or more than one equally good, fits; n_fit says how many did.
-    ``linked`` has (law_id, n), how often each reference row is linked.
+    Returns (key, law_id, cost, n_fit, nearest): law_id is -1 and cost null where
+    no reference row, or more than one equally good, fits; n_fit says how many
+    did; nearest is the first of them by cost, by how often it is linked, and by
+    id, or null. ``linked`` has (law_id, n), how often each reference row is linked.
 
     Null and blank values give no row. Repeated keys give a row each. A value of
     any length is parsed whole. An empty reference list leaves every value
     unmatched. Columns besides key and value are ignored, whatever their names.
+    A reference list of any length gives the same; its distinct words must be
+    MAX_WORDS at most.
     """
+    spark = values.sparkSession
     rows = values.select(F.col(key).cast("bigint").alias("_key"), F.col(value).cast("string").alias("_value")).filter(F.regexp_replace(F.col("_value"), r"[\s\x{a0}\x{3000}\x{200b}]+", "") != "")
-    rows = widen(rows)
     columns = reference.select("id", "title", "normalized_title", "citation", "aliases_json")
-    counts = {r["law_id"]: r["n"] for r in (rows_up_to(linked.select("law_id", "n"), max_reference) or [])} if linked is not None else {}
+    counts = linked.groupBy(F.col("law_id").alias("id")).agg(F.sum("n").alias("_n")) if linked is not None else columns.select("id", F.lit(0).cast("bigint").alias("_n")).limit(0)
+    columns = columns.join(counts, "id", "left")
+    told = "law_id bigint, cost double, n_fit int, nearest bigint"
+
+    def verdict(found: list) -> tuple:
+        fit = fitting(found)
+        one = len(fit) == 1
+        return (fit[0][3] if one else -1, fit[0][1] if one else None, len(fit), fit[0][3] if fit else None)
+
+    def framed(data: dict, verdicts: list[tuple]) -> pd.DataFrame:
+        law, c, n, nearest = zip(*verdicts) if verdicts else ((), (), (), ())
+        return pd.DataFrame(data | {"law_id": pd.Series(law, dtype="int64"), "cost": pd.Series(c, dtype="float64"), "n_fit": pd.Series(n, dtype="int32"), "nearest": pd.Series(nearest, dtype="Int64")})
+
+    def shipped(block: list, words: Iterable[str] = ()):
+        return spark.sparkContext.broadcast(Dictionary(reference_rows(block), {r["id"]: r["_n"] for r in block if r["_n"]}, words))
+
     whole = rows_up_to(columns, max_reference)
-    words: list[str] = []
     if whole is not None:
-        blocks = [whole]
-    else:
-        # rows that share a core go into one block, as kind and year must choose among them
-        keyed = checkpoint(columns.withColumn("_core", _core_words("title")))
-        words = [r["w"] for r in keyed.select(F.explode("_core").alias("w")).distinct().collect()]
-        n = -(-keyed.count() // max_reference) * 2
-        blocks = (keyed.filter(F.pmod(F.xxhash64("_core"), F.lit(n)) == i).collect() for i in range(n))
-    spark = values.sparkSession
-    found = None
-    for block in blocks:
-        shipped = spark.sparkContext.broadcast(Dictionary(reference_rows(block), counts, words))
+        one = shipped(whole)
 
-        def look(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            d = shipped.value
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            d = one.value
+            for batch in batches:
+                best = {v: verdict(d.candidates(v)) for v in batch["_value"].unique()}
+                yield framed({"_key": batch["_key"].to_numpy()}, [best[v] for v in batch["_value"]])
+
+        return widen(rows).mapInPandas(look, f"_key bigint, {told}").withColumnRenamed("_key", key)
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"w": sorted(_words(batch.to_dict("records")))}, dtype=object)
+
+    words = rows_up_to(columns.select("id", "title", "normalized_title", "citation", "aliases_json").mapInPandas(spell, "w string").distinct(), MAX_WORDS)
+    if words is None:
+        raise ValueError(f"the reference names have more than {MAX_WORDS} distinct words")
+    # equal shares by hash, each within the bound
+    n = 2 * -(-columns.count() // max_reference)
+    names = checkpoint(widen(rows.select("_value").distinct()))
+    parts = []
+    for i in range(n):
+        block = shipped(columns.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == i).collect(), [r["w"] for r in words])
+
+        def gather(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                best = {v: d.candidates(v) for v in batch["_value"].unique()}
-                hits = [best[v] for v in batch["_value"]]
-                yield pd.DataFrame(
-                    {
-                        "_key": batch["_key"],
-                        "law_id": [h[0][1] if h else -1 for h in hits],
-                        "cost": [h[0][0] if h else 9.0 for h in hits],
-                        "n_fit": [len(h) for h in hits],
-                    }
-                ).astype({"law_id": "int64", "cost": "float64", "n_fit": "int32"})
-
-        part = rows.mapInPandas(look, "_key bigint, law_id bigint, cost double, n_fit int")
-        found = part if found is None else found.unionByName(part)
-    if whole is None:
-        least = found.groupBy("_key", "cost").agg(F.sum("n_fit").cast("int").alias("n_fit"), F.min("law_id").alias("law_id"))
-        found = least.groupBy("_key").agg(F.min(F.struct("cost", "n_fit", "law_id")).alias("b")).select("_key", "b.law_id", "b.cost", "b.n_fit")
-    one = F.col("n_fit") == 1
-    return found.select(F.col("_key").alias(key), F.when(one, F.col("law_id")).otherwise(F.lit(-1)).cast("bigint").alias("law_id"), F.when(one, F.col("cost")).alias("cost"), "n_fit")
+                found = [(v, c) for v in batch["_value"] if (c := block.value.candidates(v))]
+                if found:
+                    yield pd.DataFrame({"_value": [v for v, _ in found], "_found": [c for _, c in found]})
+
+        parts.append(checkpoint(names.mapInPandas(gather, f"_value string, _found {_CANDIDATE}")))
+        block.destroy()
+    # of a block only what is within CLOSE of its best comes here
+    merged = reduce(DataFrame.unionByName, parts).groupBy("_value").agg(F.flatten(F.collect_list("_found")).alias("_found"))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield framed({"_value": batch["_value"].to_numpy()}, [verdict([tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in found]) for found in batch["_found"]])
+
+    chosen = merged.mapInPandas(choose, f"_value string, {told}").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int"))
+    every = salted.join(chosen, ["_value", "_s"], "left")
+    return every.select(F.col("_key").alias(key), F.coalesce("law_id", F.lit(-1)).cast("bigint").alias("law_id"), "cost", F.coalesce("n_fit", F.lit(0)).alias("n_fit"), "nearest")

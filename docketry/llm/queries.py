@@ -22,10 +22,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The values that name no one official law, with how many rows have them and how many laws fit."""
+    """The values that name no one official law: rows that have them, laws that fit, and of these the one nearest by cost and links."""
     links = table(spark, sf_dir, "canada_case_law_links")
     missed = _mapped(spark, sf_dir).filter("law_id = -1")
-    return links.join(missed.drop("law_id"), "id").groupBy("matched_alias").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_fit").alias("n_fit"))
+    return links.select("id", "matched_alias").join(missed.drop("law_id", "cost"), "id").groupBy("matched_alias").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_fit").alias("n_fit"), F.max("nearest").alias("nearest_law_id"))
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

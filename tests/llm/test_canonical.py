@@ -1,6 +1,6 @@
 import random
 
-from docketry.llm.canonical import Dictionary, cost, deletes, map_to_reference, parse, reference_rows
+from docketry.llm.canonical import Dictionary, cost, deletes, fitting, map_to_reference, parse, reference_rows
 
 LAWS = [
     (1, "Kiln Quota Act, 1971", "kiln quota act, 1971", "S.C. 1971, c. 11", None),
@@ -19,7 +19,7 @@ def dictionary():
 
 
 def ids(value):
-    return [k for _, k in dictionary().candidates(value)]
+    return [r[3] for r in fitting(dictionary().candidates(value))]
 
 
 def test_forms_of_one_name():
@@ -72,9 +72,24 @@ def test_operator_edges(spark):
     assert {r["law_id"] for r in map_to_reference(links, laws.limit(0), "id", "alias").collect()} == {-1}
 
 
-def test_blocks_give_the_same(spark):
+def test_links_rank_what_fits_equally(spark):
     laws = spark.createDataFrame(LAWS, LAW_SCHEMA)
-    links = spark.createDataFrame([(i, v) for i, v in enumerate(["Wharf Lighting Act", "Kiln Quota Act", "Tannery Licencing Act", "nothing", "Harbour Zonning Regs"])], "id bigint, alias string")
-    one = sorted(map(tuple, map_to_reference(links, laws, "id", "alias").select("id", "law_id").collect()))
-    few = sorted(map(tuple, map_to_reference(links, laws, "id", "alias", max_reference=3).select("id", "law_id").collect()))
-    assert one == few
+    links = spark.createDataFrame([(1, "Kiln Quota Act"), (2, "Wharf Lighting"), (3, "no such thing")], "id bigint, alias string")
+    for linked, first in (([(2, 5), (1, 3)], 2), ([(2, 5), (1, 9)], 1), ([], 1)):
+        counts = spark.createDataFrame(linked, "law_id bigint, n bigint")
+        for bound in (20_000, 2):
+            got = {r["id"]: (r["law_id"], r["n_fit"], r["nearest"]) for r in map_to_reference(links, laws, "id", "alias", counts, bound).collect()}
+            assert got == {1: (-1, 2, first), 2: (3, 1, 3), 3: (-1, 0, None)}
+
+
+def test_blocks_give_the_same(spark):
+    more = [(7, "Kiln Quotas Act", "kiln quotas act", None, None), (8, "Wharf Lighting Rules", "wharf lighting rules", None, '["Wharf Lamps Rules"]'), (9, "Harbour Zonning Act, 1950", "harbour zonning act, 1950", None, None)]
+    laws = spark.createDataFrame(LAWS + more, LAW_SCHEMA)
+    names = ["Wharf Lighting Act", "Kiln Quota Act", "Tannery Licencing Act", "nothing", "Harbour Zonning Regs", "Kiln Quotaz Act", "Wharf Lihgting", "Wharf Lamps Rules", "WLA", "SOR 77/12", "Harbour Zoning", "Wharf Lighti...", "Tannery Licensing"]
+    links = spark.createDataFrame([(i % 9, v) for i, v in enumerate(names * 2)], "id bigint, alias string")
+    counts = spark.createDataFrame([(2, 4), (5, 1)], "law_id bigint, n bigint")
+    told = ["id", "law_id", "cost", "n_fit", "nearest"]
+    one = sorted(map(str, map_to_reference(links, laws, "id", "alias", counts).select(told).collect()))
+    assert len(one) == len(names) * 2
+    for bound in (8, 4, 1):
+        assert one == sorted(map(str, map_to_reference(links, laws, "id", "alias", counts, bound).select(told).collect()))
