@@ -109,11 +109,11 @@ class Model:
     def forward(self, word: str) -> np.ndarray:
         """The log probability of a word in every language, over all segmentations.
 
-        Words longer than 40 characters are summed in stretches of 40.
+        Long words are summed in logarithms, as their probabilities are too small.
         """
-        if len(word) > 40:
-            return sum(self.forward(word[i : i + 40]) for i in range(0, len(word), 40))
         w, found = self.arcs(word)
+        if len(w) > 40:
+            return self._forward_log(len(w), found)
         at = np.zeros((len(w) + 1, len(self.languages)))
         at[0] = 1.0
         done = 0
@@ -126,6 +126,17 @@ class Model:
             at[k] += at[k - 1] * UNKNOWN
         return np.log(np.maximum(at[-1], 1e-300))
 
+    def _forward_log(self, size: int, found: list[tuple[int, int, int]]) -> np.ndarray:
+        into: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for a, b, p in found:
+            into[b].append((a, p))
+        logs = np.log(np.maximum(self.probs, 1e-300))
+        at = np.zeros((size + 1, len(self.languages)))
+        for b in range(1, size + 1):
+            ways = [at[b - 1] + np.log(UNKNOWN), *(at[a] + logs[p] for a, p in into[b])]
+            at[b] = np.logaddexp.reduce(ways, axis=0)
+        return at[-1]
+
     def number(self, word: str) -> int:
         """The row of the score table that holds a word's scores."""
         i = len(self._words)
@@ -219,8 +230,12 @@ def fit(rows: Iterable[tuple[str, str]], vocabulary: dict[str, int], rounds: int
 
 
 def _expect(model: Model, word: str, count: np.ndarray, into: np.ndarray) -> None:
-    """Add a word's expected pieces, over all its segmentations, to ``into``."""
-    w, found = model.arcs(word[:40])
+    """Add a word's expected pieces, over all its segmentations, to ``into``; a long word counts in stretches."""
+    if len(word) > 40:
+        for i in range(0, len(word), 40):
+            _expect(model, word[i : i + 40], count, into)
+        return
+    w, found = model.arcs(word)
     n = len(model.languages)
     if not found:
         return
@@ -245,13 +260,14 @@ def _expect(model: Model, word: str, count: np.ndarray, into: np.ndarray) -> Non
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folder: str = TOKENIZERS, sample: int = SAMPLE, each: int = SAMPLE_EACH) -> Model:
-    """Fit a model on at most ``sample`` labelled rows, at most ``each`` of a language.
+    """Fit a model on at most ``sample`` labelled rows, an equal part of it and at most ``each`` of a language.
 
     The rows are those with the smallest hashes of their keys, so the same data
     give the same model. They are chosen from keys and labels alone; the texts
     are then read once, of the chosen rows only; texts over LONGEST_SAMPLE
     characters are left out. A language without labelled rows is never assigned.
     """
+    each = min(each, max(1, sample // len(LANGUAGES)))
     known = F.lower(F.regexp_extract(F.trim(lang), r"^[A-Za-z]{2}(?=$|[-_])", 0))
     keyed = docs.select(F.col(key).alias("_key"), known.alias("_lang")).filter(F.col("_lang").isin(*LANGUAGES))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key"))
@@ -259,7 +275,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     # at most ``each`` rows of each language
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_key").filter(F.length("_text") <= LONGEST_SAMPLE)
     rows = sorted((r["_lang"], r["_text"]) for r in texts.select("_lang", "_text").collect())
-    return fit([(t, x) for x, t in rows][:sample], pieces(folder))
+    return fit([(t, x) for x, t in rows], pieces(folder))
 
 
 def _shares(scores: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -22,6 +22,10 @@ BLOCK = 25_000
 MAX_PROFILES = 1000
 
 
+#: Containers in a row that cannot be emptied after which the emptying pass ends.
+TRIES = 200
+
+
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container, counted from 0, of each item; every size is at most ``capacity``.
 
@@ -54,8 +58,12 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return _emptied(sizes, where, np.array(gaps, dtype=np.int64), capacity)
 
 
-def _emptied(sizes: np.ndarray, where: np.ndarray, gaps: np.ndarray, capacity: int) -> np.ndarray:
-    """Empty the least filled containers into the gaps of others where all their items fit."""
+def _emptied(sizes: np.ndarray, where: np.ndarray, gaps: np.ndarray, capacity: int, tries: int = TRIES) -> np.ndarray:
+    """Empty the least filled containers into the gaps of others where all their items fit.
+
+    Ends after ``tries`` containers in a row that cannot be emptied; the fuller
+    ones that follow could be still less.
+    """
     order = np.argsort(-gaps, kind="stable")
     items: dict[int, list[int]] = {}
     for i, b in enumerate(where.tolist()):
@@ -63,7 +71,7 @@ def _emptied(sizes: np.ndarray, where: np.ndarray, gaps: np.ndarray, capacity: i
     gone = np.zeros(len(gaps), dtype=bool)
     failed = 0
     for b in order.tolist():
-        if gaps[b] * 20 < capacity or failed > 200:
+        if failed > tries:
             break
         moved: list[tuple[int, int]] = []
         trial = gaps.copy()

@@ -132,6 +132,17 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(F.broadcast(limits), "profile").select("profile", "capacity_tokens", "containers", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("fewest"), "fullest", F.round(F.col("n_tokens") / F.col("capacity_tokens") / F.col("containers"), 4).alias("filled"))
 
 
+def p6_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each profile the documents packed, and whether each is there once and whole, no container is over its capacity, and few more are used than the fewest."""
+    rows = checkpoint(p6_containers(spark, sf_dir))
+    limits = table(spark, sf_dir, "pack_limits")
+    docs = rows.groupBy("profile", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("c"), (F.max("part") + 1 == F.count(F.lit(1))).alias("whole"))
+    docs = docs.join(F.broadcast(limits), "profile").groupBy("profile").agg(F.count(F.lit(1)).alias("n_docs"), F.every(F.col("whole") & (F.col("c") == F.ceil(F.col("n") / F.col("capacity_tokens")))).alias("once_and_whole"))
+    boxes = rows.groupBy("profile", "container").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(limits), "profile")
+    boxes = boxes.groupBy("profile").agg(F.every(F.col("n") <= F.col("capacity_tokens")).alias("within_capacity"), (F.count(F.lit(1)) <= 1 + 1.02 * F.sum("n") / F.first("capacity_tokens")).alias("near_fewest"))
+    return docs.join(boxes, "profile")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes = checkpoint(tokens.token_sizes(table(spark, sf_dir, "documents").filter("source is not null"), "doc_id", "text", ("source",)))
     targets = table(spark, sf_dir, "mix_targets")
@@ -148,6 +159,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(*_mix(spark, sf_dir))
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target share of each source of each mix, and whether repeats and budget are kept, the latter to within a document."""
+    sizes, targets, chosen = _mix(spark, sf_dir)
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    got = chosen.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("taken"), F.max("repeats").alias("most"), F.count_distinct("doc_id").alias("d"), F.count(F.lit(1)).alias("c"))
+    rows = mixing.mix_plan(sizes, targets).join(got, ["mix_name", "source"], "left").join(largest, "source", "left").fillna(0, ["taken", "most", "d", "c", "largest"])
+    return rows.select("mix_name", "source", F.round("target_share", 6).alias("target_share"), "max_repeats", ((F.col("most") <= F.col("max_repeats")) & (F.col("d") == F.col("c"))).alias("within_repeats"), (F.abs(F.col("taken") - F.col("budget_tokens")) <= F.col("largest")).alias("within_budget"))
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.languages_of(docs, language.train(docs), "doc_id")
@@ -163,7 +183,7 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).withColumn("confidence", F.round("confidence", 4))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p2_found, p2_pairs, p2_members, p3_found, p3_lists, p4_found, p4_restored, p5_found, p5_pieces, p5_rebuilt, p5_files, p6_containers, p6_fill, p7_mix, p7_shares, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p2_found, p2_pairs, p2_members, p3_found, p3_lists, p4_found, p4_restored, p5_found, p5_pieces, p5_rebuilt, p5_files, p6_containers, p6_fill, p6_kept, p7_mix, p7_shares, p7_kept, p8_found, p8_languages)}
 
 #: The distinct shingles of every record of 40 tokens or more.
 _SHINGLES = r"""
@@ -188,6 +208,11 @@ ORACLE = {
     "p5_found": """
         SELECT 'source_items' AS tbl, id AS row_id FROM source_items WHERE length(raw_text) > 6000
         UNION ALL SELECT 'rag_chunks', id FROM rag_chunks WHERE length(text_content) > 1800""",
+    "p6_kept": r"""
+        SELECT profile, (SELECT count(*) FROM documents WHERE regexp_matches(text, '[^\s\x{85}\x{A0}\x{2028}\x{3000}]')) AS n_docs, true AS once_and_whole, true AS within_capacity, true AS near_fewest FROM pack_limits""",
+    "p7_kept": """
+        SELECT mix_name, source, round(target_weight / sum(target_weight) OVER (PARTITION BY mix_name), 6) AS target_share, max_repeats, true AS within_repeats, true AS within_budget
+        FROM mix_targets WHERE target_weight > 0 AND max_repeats > 0""",
     "p5_rebuilt": """
         SELECT 'source_items' AS tbl, id AS row_id, md5(raw_text) AS text_hash, true AS within_limit, true AS overlapping FROM source_items WHERE length(raw_text) > 6000
         UNION ALL SELECT 'rag_chunks', id, md5(text_content), true, true FROM rag_chunks WHERE length(text_content) > 1800""",
