@@ -72,11 +72,17 @@ def alias_merged_counts(rows: DataFrame, code: Column, aliases: DataFrame) -> Da
     return named.groupBy("canonical").agg(F.sum("n").alias("n"))
 
 
-def floor_percentile(values: Column, p: float) -> Column:
-    """The value at the floored index of a sorted group (exact)."""
-    s = F.array_sort(F.collect_list(values))
-    at = F.least(F.floor(F.size(s) * F.lit(p)).cast("int"), F.size(s) - 1)
-    return F.element_at(s, at + 1)
+def floor_percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """For each group and each named share the value at the floored index of its sorted values (exact).
+
+    Counts of each distinct value, which are combined before the shuffle, are
+    summed up in order of value; no group is ever held as a list.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    at = lambda p: F.least(F.floor(F.col("_all") * F.lit(p)), F.col("_all") - 1)
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()])
 
 
 def merge_duplicates(rows: DataFrame, by: Sequence, best: Sequence, sums: Sequence[str] = (), least: Sequence[str] = (), most: Sequence[str] = ()) -> DataFrame:

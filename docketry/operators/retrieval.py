@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.functions import arrays as V
+from docketry.functions import vectors as VX
 from docketry.functions.terms import index_terms, positions
 from docketry.functions.text import repair_text, token_estimate
 from docketry.operators.relational import first_per_group
@@ -77,19 +77,16 @@ def hash_embedding(rows: DataFrame, key: str, tokens: Column, dims: int = 384) -
     return cells.withColumn("n", length).filter("n > 0").select(key, "idx", F.round(F.col("w") / F.col("n"), 8).alias("weight"))
 
 
-def exact_neighbours(rows: DataFrame, key: str, vector: str, query: Column, k: int) -> DataFrame:
+def exact_neighbours(rows: DataFrame, key: str, vector: str, query: Sequence[float], k: int) -> DataFrame:
     """The k rows most similar to one query vector: a scan with a bounded heap per task."""
-    scored = rows.withColumn("score", F.round(V.cosine(F.col(vector), query), 6))
+    scored = rows.withColumn("score", VX.cosine_to(query, F.col(vector))).filter("score is not null")
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
 def hamming_then_exact(rows: DataFrame, key: str, vector: str, query: Sequence[float], k: int, coarse: int) -> DataFrame:
     """Candidates by the signs' Hamming distance, then the k best of them by cosine."""
-    dims = len(query)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    near = V.hamming(V.sign_words(F.col(vector), dims), V.sign_words(q, dims)).cast("int")
-    picked = rows.filter(F.size(vector) == dims).withColumn("distance", near).orderBy("distance", key).limit(coarse)
-    return exact_neighbours(picked, key, vector, q, k)
+    near = rows.withColumn("distance", VX.hamming_to(query, F.col(vector))).filter("distance is not null")
+    return exact_neighbours(near.orderBy("distance", key).limit(coarse), key, vector, query, k)
 
 
 def fused(channels: dict[str, DataFrame], key: str, limit: int) -> DataFrame:

@@ -161,7 +161,7 @@ def a19_trial_summary(t: Tables) -> DataFrame:
 
 @book.add("""SELECT event_type, """ + ", ".join(f"list_sort(list(value))[CAST(least(floor(count(*) * {p}), count(*) - 1) AS INT) + 1] AS p{int(p * 100)}" for p in (0.5, 0.95, 0.99)) + " FROM events WHERE value IS NOT NULL GROUP BY 1")
 def a20_floor_percentiles(t: Tables) -> DataFrame:
-    return t.events.filter("value is not null").groupBy("event_type").agg(*[R.floor_percentile(F.col("value"), p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    return R.floor_percentiles(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @book.add("SELECT e.embedding_model, count(*) AS stale FROM rag_chunks c JOIN rag_chunk_embeddings e ON e.chunk_id = c.id WHERE c.content_hash <> e.content_hash GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import arrays as V
 from docketry.functions import text as X
+from docketry.functions import vectors as VX
 from docketry.operators import graph as G
 from docketry.operators import relational as R
 from docketry.operators import retrieval as I
@@ -22,14 +23,24 @@ V_SQL = f"v AS (SELECT chunk_id, embedding_vector::DOUBLE[] AS x FROM rag_chunk_
 LIKE_SQL = " + ".join(f"CASE WHEN lower(coalesce(title, '')) LIKE '%{x}%' THEN 0.35 ELSE 0 END + CASE WHEN lower(coalesce(text_content, '')) LIKE '%{x}%' THEN 0.08 ELSE 0 END" for x in TERMS)
 
 
-def usable(t: Tables) -> DataFrame:
-    v = F.col("embedding_vector")
-    return t.rag_chunk_embeddings.filter((F.size(v) == F.col("dimension")) & (F.col("embedding_model") == "lexvec-base") & ~F.exists(v, lambda x: F.isnan(x)) & F.exists(v, lambda x: x != 0))
+def vectors_of(t: Tables) -> DataFrame:
+    """The vectors of one model whose length is what their row says; components are looked at where they are scored."""
+    return t.rag_chunk_embeddings.filter((F.size("embedding_vector") == F.col("dimension")) & (F.col("embedding_model") == "lexvec-base"))
 
 
 def query_vector(t: Tables) -> list[float]:
     """The vector asked with: one row, the usable one with the smallest id."""
-    return [float(x) for x in usable(t).orderBy("chunk_id").select("embedding_vector").first()[0]]
+    v = F.col("embedding_vector")
+    fine = ~F.exists(v, lambda x: F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    rows = vectors_of(t)
+    # the first usable of the smallest ids; only where none of these is usable are all looked at
+    some = rows.orderBy("chunk_id").limit(64).filter(fine).orderBy("chunk_id").select("embedding_vector").head(1) or rows.filter(fine).orderBy("chunk_id").select("embedding_vector").head(1)
+    return [float(x) for x in some[0][0]]
+
+
+def near(t: Tables, *more: str) -> DataFrame:
+    """(chunk_id, score) of every usable vector, with further columns."""
+    return vectors_of(t).select("chunk_id", *more, VX.cosine_to(query_vector(t), F.col("embedding_vector")).alias("score")).filter("score is not null")
 
 
 def literal(q: list[float]):
@@ -99,21 +110,20 @@ def r09_hash_embedding(t: Tables) -> DataFrame:
 
 @book.add(f"WITH {Q_SQL}, {V_SQL} SELECT chunk_id, round(list_cosine_similarity(x, q.v), 6) AS score FROM v, q ORDER BY score DESC, chunk_id LIMIT 20")
 def r10_cosine_top(t: Tables) -> DataFrame:
-    return I.exact_neighbours(usable(t), "chunk_id", "embedding_vector", literal(query_vector(t)), 20).select("chunk_id", "score")
+    return near(t).orderBy(F.desc("score"), "chunk_id").limit(20)
 
 
 @book.add(f"""WITH {Q_SQL}, n AS (SELECT chunk_id, embedding_vector::DOUBLE[] AS x FROM rag_chunk_embeddings WHERE {GOOD} ORDER BY updated_at DESC, chunk_id LIMIT 2000)
     SELECT chunk_id, round(list_cosine_similarity(x, q.v), 6) AS score FROM n, q WHERE list_cosine_similarity(x, q.v) > 0 ORDER BY score DESC, chunk_id LIMIT 10""")
 def r11_newest_then_exact(t: Tables) -> DataFrame:
-    newest = usable(t).orderBy(F.desc("updated_at"), "chunk_id").limit(2000)
-    scored = newest.select("chunk_id", F.round(V.cosine(F.col("embedding_vector"), literal(query_vector(t))), 6).alias("score")).filter("score > 0")
-    return scored.orderBy(F.desc("score"), "chunk_id").limit(10)
+    newest = near(t, "updated_at").orderBy(F.desc("updated_at"), "chunk_id").limit(2000)
+    return newest.filter("score > 0").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(10)
 
 
 @book.add(f"""WITH {Q_SQL}, {V_SQL}, a AS (SELECT chunk_id, round(list_cosine_similarity(x, q.v), 6) AS score FROM v, q ORDER BY score DESC, chunk_id LIMIT 96)
     SELECT c.id, c.title, a.score FROM a JOIN rag_chunks c ON c.id = a.chunk_id JOIN rag_chunk_embeddings e ON e.chunk_id = c.id AND e.content_hash = c.content_hash WHERE c.source_table = 'source_items' ORDER BY a.score DESC, c.id LIMIT 24""")
 def r12_top_then_join(t: Tables) -> DataFrame:
-    best = I.exact_neighbours(usable(t).select("chunk_id", "embedding_vector", F.col("content_hash").alias("made_of")), "chunk_id", "embedding_vector", literal(query_vector(t)), 96)
+    best = near(t, "content_hash").withColumnRenamed("content_hash", "made_of").orderBy(F.desc("score"), "chunk_id").limit(96)
     # 96 rows meet the wide table by a broadcast
     rows = t.rag_chunks.filter("source_table = 'source_items'").select("id", "title", "content_hash").join(F.broadcast(best.select(F.col("chunk_id").alias("id"), "score", "made_of")), "id")
     return rows.filter("content_hash = made_of").orderBy(F.desc("score"), "id").limit(24).select("id", "title", "score")
@@ -122,21 +132,21 @@ def r12_top_then_join(t: Tables) -> DataFrame:
 @book.add(f"""WITH {Q_SQL}, {V_SQL}, h AS (SELECT chunk_id, x, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: ((x[i] > 0) <> (q.v[i] > 0))::INT)) AS INT) AS distance FROM v, q ORDER BY distance, chunk_id LIMIT 400)
     SELECT chunk_id, distance, round(list_cosine_similarity(x, q.v), 6) AS score FROM h, q ORDER BY score DESC, chunk_id LIMIT 10""")
 def r13_hamming_then_exact(t: Tables) -> DataFrame:
-    return I.hamming_then_exact(usable(t), "chunk_id", "embedding_vector", query_vector(t), 10, 400).select("chunk_id", "distance", "score")
+    return I.hamming_then_exact(vectors_of(t), "chunk_id", "embedding_vector", query_vector(t), 10, 400).select("chunk_id", "distance", "score")
 
 
 @book.add(f"""WITH {Q_SQL}, {V_SQL}, l AS (SELECT id, CASE WHEN jurisdiction = 'Ontario' THEN 1 ELSE 0 END AS scope, round(CAST({LIKE_SQL} AS DOUBLE), 6) AS lexical FROM rag_chunks WHERE ({LIKE_SQL}) > 0)
     SELECT l.id, CAST(l.scope AS INT) AS scope, round(list_cosine_similarity(v.x, q.v), 6) AS score, l.lexical FROM l JOIN v ON v.chunk_id = l.id, q ORDER BY scope DESC, score DESC, lexical DESC, id LIMIT 40""")
 def r14_lexical_then_vector(t: Tables) -> DataFrame:
     l = t.rag_chunks.select("id", F.when(F.col("jurisdiction") == "Ontario", 1).otherwise(0).alias("scope"), F.round(I.like_score(F.col("title"), F.col("text_content"), TERMS), 6).alias("lexical")).filter("lexical > 0")
-    v = usable(t).select(F.col("chunk_id").alias("id"), F.round(V.cosine(F.col("embedding_vector"), literal(query_vector(t))), 6).alias("score"))
+    v = near(t).withColumnRenamed("chunk_id", "id")
     return l.join(v, "id").orderBy(F.desc("scope"), F.desc("score"), F.desc("lexical"), "id").limit(40).select("id", "scope", "score", "lexical")
 
 
 @book.add(f"""WITH {Q_SQL}, {V_SQL}, s AS (SELECT c.id, coalesce(c.jurisdiction = 'Ontario', false) AS ok, round(list_cosine_similarity(v.x, q.v), 6) AS score FROM v JOIN rag_chunks c ON c.id = v.chunk_id, q)
     SELECT id, score, CASE WHEN ok THEN 'scoped' ELSE 'open' END AS status FROM s WHERE ok OR NOT EXISTS (SELECT 1 FROM s WHERE ok) ORDER BY score DESC, id LIMIT 15""")
 def r15_hard_scope(t: Tables) -> DataFrame:
-    v = usable(t).select(F.col("chunk_id").alias("id"), F.round(V.cosine(F.col("embedding_vector"), literal(query_vector(t))), 6).alias("score"))
+    v = near(t).withColumnRenamed("chunk_id", "id")
     s = t.rag_chunks.select("id", F.coalesce(F.col("jurisdiction") == "Ontario", F.lit(False)).alias("ok")).join(v, "id")
     both = R.exact_else_fallback(s.filter("ok"), s.filter("not ok"))
     return both.orderBy(F.desc("score"), "id").limit(15).select("id", "score", F.when(F.col("ok"), "scoped").otherwise("open").alias("status"))
@@ -164,14 +174,14 @@ FUSION_SQL = f"""WITH {Q_SQL}, {V_SQL}, l0 AS (SELECT id, round(CAST({LIKE_SQL}
 @book.add(FUSION_SQL)
 def r19_hybrid_search(t: Tables) -> DataFrame:
     l = t.rag_chunks.select("id", F.round(I.like_score(F.col("title"), F.col("text_content"), TERMS), 6).alias("s")).filter("s > 0")
-    v = usable(t).select(F.col("chunk_id").alias("id"), F.round(V.cosine(F.col("embedding_vector"), literal(query_vector(t))), 6).alias("s"))
+    v = near(t).select(F.col("chunk_id").alias("id"), F.col("score").alias("s"))
     return I.fused({"lexical": I.ranked(l, "id", "s", 60), "vector": I.ranked(v, "id", "s", 60)}, "id", 40)
 
 
 @book.add(f"""WITH {Q_SQL}, {V_SQL}, n AS (SELECT chunk_id AS id, round(list_cosine_similarity(x, q.v), 6) AS score FROM v, q), r AS (SELECT n.id, n.score, len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(c.title, '') || ' ' || coalesce(c.text_content, '')), '[a-z]+')), ['easement', 'lease', 'costs'])) AS overlap
     FROM n JOIN rag_chunks c ON c.id = n.id) SELECT id, score, CAST(overlap AS INT) AS overlap FROM r WHERE NOT (overlap = 0 AND score < 0.58)""")
 def r20_gated(t: Tables) -> DataFrame:
-    v = usable(t).select(F.col("chunk_id").alias("id"), F.round(V.cosine(F.col("embedding_vector"), literal(query_vector(t))), 6).alias("score"))
+    v = near(t).withColumnRenamed("chunk_id", "id")
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text_content", F.lit("")))), F.lit("[a-z]+"), F.lit(0))
     rows = t.rag_chunks.select("id", F.size(F.array_intersect(words, F.array(*map(F.lit, TERMS)))).alias("overlap")).join(v, "id")
     return I.gated(rows, F.col("overlap"), F.lit(True), F.col("score"), F.lit(0.0)).select("id", "score", "overlap")
@@ -253,9 +263,9 @@ def r28_graph_status(t: Tables) -> DataFrame:
     SELECT round(count(*) / 10.0, 6)::DOUBLE AS recall FROM n JOIN h ON h.chunk_id = n.chunk_id AND h.r <= 10 WHERE n.r <= 10""")
 def f28_recall_at_k(t: Tables) -> DataFrame:
     q = query_vector(t)
-    exact = I.exact_neighbours(usable(t), "chunk_id", "embedding_vector", literal(q), 10).agg(F.collect_list("chunk_id").alias("a"))
-    near = V.hamming(V.sign_words(F.col("embedding_vector"), len(q)), V.sign_words(literal(q), len(q)))
-    coarse = usable(t).withColumn("d", near).orderBy("d", "chunk_id").limit(10).agg(F.collect_list("chunk_id").alias("b"))
+    exact = I.exact_neighbours(vectors_of(t), "chunk_id", "embedding_vector", q, 10).agg(F.collect_list("chunk_id").alias("a"))
+    signs = vectors_of(t).select("chunk_id", VX.hamming_to(q, F.col("embedding_vector")).alias("d")).filter("d is not null")
+    coarse = signs.orderBy("d", "chunk_id").limit(10).agg(F.collect_list("chunk_id").alias("b"))
     return exact.join(F.broadcast(coarse), F.lit(True)).select(F.round(V.recall_at(F.col("a"), F.col("b"), 10), 6).alias("recall"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import arrays as V
@@ -96,10 +96,9 @@ def p11_scope(t: Tables) -> DataFrame:
 
 @book.add("""SELECT a.id, max(b.id) AS existing FROM source_items a JOIN source_items b ON a.source_code IS NOT DISTINCT FROM b.source_code AND a.source_uid IS NOT DISTINCT FROM b.source_uid AND b.id < a.id GROUP BY 1""")
 def p12_null_safe_identity(t: Tables) -> DataFrame:
-    a = t.source_items.select("id", "source_code", "source_uid").alias("a")
-    b = t.source_items.select("id", "source_code", "source_uid").alias("b")
-    same = F.col("a.source_code").eqNullSafe(F.col("b.source_code")) & F.col("a.source_uid").eqNullSafe(F.col("b.source_uid")) & (F.col("b.id") < F.col("a.id"))
-    return a.join(b, same).groupBy(F.col("a.id").alias("id")).agg(F.max("b.id").alias("existing"))
+    # a window takes nulls as equal; the row before is the largest smaller id, and no pair is made
+    before = F.lag("id").over(Window.partitionBy("source_code", "source_uid").orderBy("id"))
+    return t.source_items.select("id", before.alias("existing")).filter("existing is not null")
 
 
 @book.add("SELECT id, parse_host AS host FROM (SELECT id, regexp_extract(item_url, '^https?://([^/:?#]+)', 1) AS parse_host, starts_with(item_url, 'https://') AS safe FROM source_items) WHERE safe AND (parse_host = 'example.org' OR ends_with(parse_host, '.example.org'))")
