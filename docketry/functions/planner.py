@@ -95,3 +95,11 @@ def plan(query: str) -> dict:
 def clamp_limit(n: int | None, most: int = 100, default: int = 20) -> int:
     """A limit within 1 and ``most``."""
     return max(1, min(default if n is None else int(n), most))
+
+
+def query_edges(query: str) -> list[tuple[str, str, str, float]]:
+    """The query's own graph: (source, relation, target, weight) from it to its places, domains and terms."""
+    p = plan(query)
+    how = {WEIGHTS["quoted"]: "quoted", WEIGHTS["typed"]: "typed", WEIGHTS["expanded"]: "expanded", WEIGHTS["domain"]: "domain term"}
+    edges = [("query", "place", x, 1.0) for x in p["places"]] + [("query", "domain", d, WEIGHTS["domain"]) for d in p["domains"]]
+    return edges + [("query", how[w], x, w) for x, w in p["terms"].items() if w in how]

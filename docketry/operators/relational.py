@@ -114,3 +114,8 @@ def cooldown_sessions(events: DataFrame, by: Sequence[str], at: str, order: str,
     w = Window.partitionBy(*by).orderBy(at, order)
     gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))
     return events.withColumn("task_no", F.sum(F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def placed(rows: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """The rows of a short list, of which every group was limited before, numbered from 1."""
+    return rows.withColumn(name, F.row_number().over(Window.orderBy(*_columns(order))))
