@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.runtime import widen
+
 #: Tokens a chunk is filled up to, and the most it may have (fixed values).
 TARGET, MOST = 384, 512
 #: How far back, in characters, a defined short name is looked for (fixed value).
@@ -21,6 +23,9 @@ _STOP = re.compile(r"(?<=[.!?;。！？；])\s*(?=\S)")
 _TOKEN = re.compile(r"[一-鿿]|[A-Za-zÀ-ÿ0-9_]+|[^\sA-Za-zÀ-ÿ0-9_一-鿿]")
 _ALIAS = re.compile(r"([A-Z][\w.&'-]*(?:\s+[A-Z][\w.&'-]*){0,6})\s*\((?:the |collectively,? the )?[\"“]([A-Za-z][\w ]{1,40})[\"”]\)")
 
+#: What every definition of a short name has, and few texts.
+_DEFINED = re.compile(r"\((?:the |collectively,? the )?[\"“]")
+
 
 def count_tokens(text: str) -> int:
     """CJK characters, words and other signs, each as one."""
@@ -32,16 +37,17 @@ def _fit(text: str, most: int) -> list[str]:
     if count_tokens(text) <= most:
         return [text]
     parts: list[str] = []
-    held = ""
+    held, size = "", 0
     for s in _STOP.split(text):
-        units = [s] if count_tokens(s) <= most else [" ".join(w) for w in _windows(s.split() or [s], most)]
-        for u in units:
-            joined = f"{held} {u}".strip()
-            if held and count_tokens(joined) > most:
+        n = count_tokens(s)
+        units = [(s, n)] if n <= most else [(u, count_tokens(u)) for u in (" ".join(w) for w in _windows(s.split() or [s], most))]
+        # no token reaches over a blank, so the counts of parts add up
+        for u, n in units:
+            if held and size + n > most:
                 parts.append(held)
-                held = u
+                held, size = u, n
             else:
-                held = joined
+                held, size = f"{held} {u}".strip(), size + n
     return [*parts, held] if held else parts
 
 
@@ -104,7 +110,7 @@ def chunk_document(text: str, target: int = TARGET, most: int = MOST) -> list[di
             last = out[-1] if out else None
             if last and last["section_id"] == sec and last["token_count"] < target and last["token_count"] + n <= target:
                 last["text"] += "\n" + part
-                last["token_count"] = count_tokens(last["text"])
+                last["token_count"] += n
                 last["paragraph_end"] = no if no is not None else last["paragraph_end"]
                 last["paragraph_start"] = last["paragraph_start"] if last["paragraph_start"] is not None else no
             else:
@@ -118,7 +124,10 @@ def known_aliases(prior: str, text: str) -> dict[str, str]:
     A short name that was given to two different names stays unresolved.
     """
     found: dict[str, set[str]] = {}
-    for m in _ALIAS.finditer(prior[-LOOK_BACK:] + "\n" + text):
+    seen = prior[-LOOK_BACK:] + "\n" + text
+    if not _DEFINED.search(seen):
+        return {}
+    for m in _ALIAS.finditer(seen):
         found.setdefault(m[2].lower(), set()).add(m[1])
     return {k: next(iter(v)) for k, v in found.items() if len(v) == 1 and re.search(rf"\b{re.escape(k)}\b", text, re.I)}
 
@@ -155,7 +164,7 @@ def chunk_documents(docs: DataFrame, key: str, text: str, title: str, target: in
                 frame[n] = frame[n].astype("Int32")
             yield frame
 
-    return rows.mapInPandas(work, SCHEMA).withColumnRenamed("_key", key)
+    return widen(rows).mapInPandas(work, SCHEMA).withColumnRenamed("_key", key)
 
 
 #: Families of named things, each with its pattern and confidence (fixed values).

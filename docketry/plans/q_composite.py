@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import arrays as V
-from docketry.functions import text as X
 from docketry.operators import chunking as C
 from docketry.operators import relational as R
 from docketry.operators import relevance as S

@@ -13,7 +13,6 @@ from docketry.functions import text as X
 from docketry.operators import dictionary as D
 from docketry.operators import evidence as E
 from docketry.operators import relational as R
-from docketry.operators import relevance as S
 from docketry.operators import selection as L
 from docketry.plans.book import Book, Tables
 from docketry.runtime import checkpoint_dir

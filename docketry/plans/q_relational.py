@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions import text as X
 from docketry.operators import relational as R
 from docketry.plans.book import Book, Tables
 
