@@ -119,3 +119,42 @@ def cooldown_sessions(events: DataFrame, by: Sequence[str], at: str, order: str,
 def placed(rows: DataFrame, order: Sequence, name: str) -> DataFrame:
     """The rows of a short list, of which every group was limited before, numbered from 1."""
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*_columns(order))))
+
+
+def _ordered_items(rows: DataFrame, key: str, item: str, counts: DataFrame) -> DataFrame:
+    """(key, item, _n, _r): items of each set from the rarest on, numbered from 1, with the set's size."""
+    w = Window.partitionBy(key)
+    return rows.join(counts, item).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy("_df", item)))
+
+
+def similar_sets(rows: DataFrame, key: str, item: str, least: float) -> DataFrame:
+    """(a, b, na, nb, common), a < b: the pairs of keys whose sets of items have a Jaccard coefficient of ``least`` or more.
+
+    Sets so similar share one of their rarest items: of a set of n items those
+    beyond n - ceil(least * n) + 1 make no pair, so an item that many sets have
+    is met only by the small sets it is among the rarest of. Exact.
+    """
+    sets = rows.select(key, item).filter(F.col(key).isNotNull() & F.col(item).isNotNull()).distinct()
+    placed = _ordered_items(sets, key, item, sets.groupBy(item).agg(F.count(F.lit(1)).alias("_df")))
+    head = placed.filter(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1)
+    x = head.select(item, F.col(key).alias("a"), F.col("_n").alias("na"))
+    y = head.select(item, F.col(key).alias("b"), F.col("_n").alias("nb"))
+    met = x.join(y, item).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b", "na", "nb").distinct()
+    # a key's own items, as one array
+    own = sets.groupBy(key).agg(F.collect_set(item).alias("_items"))
+    both = met.join(own.select(F.col(key).alias("a"), F.col("_items").alias("_x")), "a").join(own.select(F.col(key).alias("b"), F.col("_items").alias("_y")), "b")
+    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("_x", "_y")).alias("common"))
+    return both.filter(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * least - 1e-9)
+
+
+def sharing_sets(left: DataFrame, right: DataFrame, left_key: str, right_key: str, item: str, least: int) -> DataFrame:
+    """(left_key, right_key, common) of the pairs whose sets share at least ``least`` items.
+
+    The ``least - 1`` commonest items of a set make no pair by themselves. Exact.
+    """
+    l, r = (s.select(k, item).filter(F.col(k).isNotNull() & F.col(item).isNotNull()).distinct() for s, k in ((left, left_key), (right, right_key)))
+    counts = l.select(item).unionByName(r.select(item)).groupBy(item).agg(F.count(F.lit(1)).alias("_df"))
+    heads = [_ordered_items(s, k, item, counts).filter(F.col("_r") <= F.col("_n") - least + 1).select(k, item) for s, k in ((l, left_key), (r, right_key))]
+    met = heads[0].join(heads[1], item).select(left_key, right_key).distinct()
+    both = met.join(l.groupBy(left_key).agg(F.collect_set(item).alias("_x")), left_key).join(r.groupBy(right_key).agg(F.collect_set(item).alias("_y")), right_key)
+    return both.select(left_key, right_key, F.size(F.array_intersect("_x", "_y")).alias("common")).filter(F.col("common") >= least)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,14 +47,22 @@ def weighted_terms(fields: Sequence[tuple[Column, float]], terms: dict[str, floa
 
     Only the first ``prefix`` characters of each field are looked at, if it is given.
     """
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+
+    def worth(low: Column, term: str, w: float) -> Column:
+        n = (F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)
+        return F.when(F.contains(low, F.lit(term)), let(n, lambda n: w * (1 + F.log1p(F.least(n, F.lit(4.0)))))).otherwise(0.0)
+
+    def scored(weight: float, low: Column) -> Column:
+        length = F.greatest(F.lit(1.0), F.sqrt(F.greatest(F.lit(80), F.length(low)) / 420.0))
+        return sum((worth(low, t, weight * w) for t, w in terms.items()), F.lit(0.0)) / length
+
     total = F.lit(0.0)
     for field, weight in fields:
         text = F.coalesce(field, F.lit(""))
         low = F.lower(text if prefix is None else F.substring(text, 1, prefix))
-        length = F.greatest(F.lit(1.0), F.sqrt(F.greatest(F.lit(80), F.length(low)) / 420.0))
-        for term, w in terms.items():
-            n = (F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)
-            total = total + F.when(n > 0, weight * w * (1 + F.log1p(F.least(n, F.lit(4.0)))) / length).otherwise(0.0)
+        # the small letters of a field are made once for all terms
+        total = total + let(low, partial(scored, weight))
     return total
 
 

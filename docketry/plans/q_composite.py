@@ -115,7 +115,7 @@ def r41_title_association(t: Tables) -> DataFrame:
     words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)))).alias("t")
     w = t.source_items.select("id", words("title"))
     l = t.canada_laws.filter("origin = 'official'").select(F.col("id").alias("law_id"), words("title"))
-    j = w.join(l, "t").groupBy("id", "law_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    j = R.sharing_sets(w, l, "id", "law_id", "t", 3).withColumnRenamed("common", "n")
     return j.select("id", "law_id", F.round(F.least(F.lit(0.25), 0.05 * F.col("n")) + 0.7 * 0.5 + 0.15 * 0.9, 6).alias("score"))
 
 
@@ -183,7 +183,13 @@ def k04_containment_links(t: Tables) -> DataFrame:
     rows = t.canada_laws.filter(F.length("title") >= 6).select("id", "jurisdiction", F.lower("title").alias("t"))
     a = rows.select(F.col("id").alias("left_id"), "jurisdiction", F.regexp_replace("t", ", [0-9]{4}$", "").alias("ta"))
     b = rows.select(F.col("id").alias("right_id"), "jurisdiction", F.col("t").alias("tb"))
-    return a.join(b, "jurisdiction").filter((F.col("left_id") != F.col("right_id")) & (F.contains("ta", F.col("tb")) | F.contains("tb", F.col("ta")))).select("left_id", "right_id", F.lit(0.75).alias("score"))
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 3)), lambda i: F.substring(F.col(c), i, F.lit(4))))).alias("four")
+    four = lambda c: F.substring(c, 1, 4).alias("four")
+    # what contains a name has the name's first four letters at some place; names without their year have four or more
+    one = a.select("*", grams("ta")).join(b.select("*", four("tb")), ["jurisdiction", "four"]).filter(F.contains("ta", "tb"))
+    two = b.select("*", grams("tb")).join(a.select("*", four("ta")), ["jurisdiction", "four"]).filter(F.contains("tb", "ta"))
+    both = one.select("left_id", "right_id").unionByName(two.select("left_id", "right_id")).filter("left_id <> right_id").distinct()
+    return both.select("left_id", "right_id", F.lit(0.75).alias("score"))
 
 
 @book.add("""WITH l AS (SELECT law_id, count(*) AS n FROM canada_case_law_links WHERE law_id IS NOT NULL GROUP BY 1) SELECT c.id, c.origin, coalesce(l.n, 0) AS links FROM canada_laws c LEFT JOIN l ON l.law_id = c.id ORDER BY (c.origin = 'official') DESC, links DESC, c.title, c.id LIMIT 60""")

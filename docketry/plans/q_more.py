@@ -208,14 +208,8 @@ def r42_similar_runs(t: Tables) -> DataFrame:
 @book.add("""WITH l AS (SELECT case_item_id AS c, list_sort(list_distinct(list(law_id))) AS g FROM canada_case_law_links WHERE law_id IS NOT NULL GROUP BY 1), p AS (SELECT a.c AS a, b.c AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS j FROM l a JOIN l b ON a.c < b.c WHERE len(list_intersect(a.g, b.g)) > 0)
     SELECT a, b, round(0.3 + 0.42 * j, 6)::DOUBLE AS similarity FROM p WHERE 0.3 + 0.42 * j >= 0.6""")
 def r43_history_pairs(t: Tables) -> DataFrame:
-    k = t.canada_case_law_links.filter("law_id is not null").select("case_item_id", "law_id").distinct()
-    n = k.groupBy("case_item_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = k.join(n, "case_item_id")
-    # sets of equal size share at most the smaller one: a size filter before the pairs are made
-    x = rows.select("law_id", F.col("case_item_id").alias("a"), F.col("n").alias("na"))
-    y = rows.select("law_id", F.col("case_item_id").alias("b"), F.col("n").alias("nb"))
     least = (0.6 - 0.3) / 0.42 - 1e-9
-    both = x.join(y, "law_id").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    both = R.similar_sets(t.canada_case_law_links, "case_item_id", "law_id", least).withColumnRenamed("common", "c")
     j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
     return both.select("a", "b", (0.3 + 0.42 * j).alias("s")).filter("s >= 0.6").select("a", "b", F.round("s", 6).alias("similarity"))
 

@@ -13,6 +13,7 @@ from docketry.operators import relational as R
 from docketry.operators import relevance as S
 from docketry.plans.book import Book, Tables
 from docketry.runtime import checkpoint_dir
+from docketry.sources import files
 
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
@@ -40,13 +41,13 @@ SANCTIONS_SQL = f"""WITH ent(ent_num, name, kind, program, remarks) AS ({_values
 
 
 def _sanctions(t: Tables) -> DataFrame:
-    """The four files written as CSV with a byte-order mark and headers, and read back."""
+    """The four files written as CSV with headers, and read back."""
     folder = f"{checkpoint_dir(t.spark)}/sanctions-{uuid.uuid4().hex}"
     frames = []
     for name, rows, schema in (("ent", ENTITIES, "ent_num int, name string, kind string, program string, remarks string"), ("add", ADDRESSES, "ent_num int, add_num int, address string, city string, country string"), ("alt", ALIASES, "ent_num int, alt_num int, name string"), ("com", COMMENTS, "ent_num int, remarks string")):
         df = t.spark.createDataFrame(rows, schema)
         df.coalesce(1).write.option("header", True).option("nullValue", "").csv(f"{folder}/{name}")
-        frames.append(t.spark.read.option("header", True).schema(schema).csv(f"{folder}/{name}"))
+        frames.append(files.read_csv(t.spark, f"{folder}/{name}", schema))
     return A.sanctions(*frames)
 
 
@@ -64,12 +65,24 @@ def k09_programs(t: Tables) -> DataFrame:
 def s13_archive_integrity(t: Tables) -> DataFrame:
     """Items with a text are expected in an archive; it was written of the items with a date, and is read back."""
     folder = f"{checkpoint_dir(t.spark)}/archive-{uuid.uuid4().hex}"
-    t.source_items.filter("published_at is not null").select("id", "source_code", "title").write.json(folder)
-    there = t.spark.read.schema("id bigint, source_code string, title string").json(folder)
+    files.write_archive(t.source_items.filter("published_at is not null").select("id", "source_code", "title"), "id", folder)
+    there = files.read_archive(t.spark, folder, "id bigint, source_code string, title string")
     expected = t.source_items.filter("raw_text is not null")
     return R.set_difference(expected, there, ["id"]).withColumn("side", F.lit("missing")).unionByName(R.set_difference(there, expected, ["id"]).withColumn("side", F.lit("unexpected")))
 
 
+@book.add("SELECT count(*) AS n, true AS in_order FROM source_items")
+def s12_ordered_export(t: Tables) -> DataFrame:
+    """An export in order of ids, read back: every file's ids are beyond those of the file before."""
+    folder = f"{checkpoint_dir(t.spark)}/export-{uuid.uuid4().hex}"
+    files.write_ordered(t.source_items.select("id", "source_code", "title"), "id", folder)
+    back = t.spark.read.schema("id bigint").json(folder).select("id", F.col("_metadata.file_name").alias("f"))
+    ranges = back.groupBy("f").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    # a row per file
+    placed = ranges.withColumn("before", F.lag("hi").over(Window.orderBy("f")))
+    return placed.agg(F.sum("n").cast("bigint").alias("n"), F.every(F.coalesce(F.col("before") < F.col("lo"), F.lit(True))).alias("in_order"))
+
+
 @book.add("SELECT page, min(id) AS first_id, max(id) AS last_id, count(*) AS n FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 500 AS page FROM rag_chunks) GROUP BY 1")
 def s15_all_pages(t: Tables) -> DataFrame:
     """All pages of a keyset scan at once: where each begins and ends."""
