@@ -55,7 +55,8 @@ def cosine_to(query: Sequence[float], vector: Column) -> Column:
     def cosine(v: pa.Array) -> pa.Array:
         return over(v)
 
-    return cosine(vector)
+    # a filter on the score must not score every vector once more
+    return cosine.asNondeterministic()(vector)
 
 
 def hamming_to(query: Sequence[float], vector: Column) -> Column:
@@ -66,4 +67,4 @@ def hamming_to(query: Sequence[float], vector: Column) -> Column:
     def hamming(v: pa.Array) -> pa.Array:
         return over(v)
 
-    return hamming(vector)
+    return hamming.asNondeterministic()(vector)

@@ -14,6 +14,7 @@ from docketry.functions import vectors as VX
 from docketry.functions.terms import index_terms, positions
 from docketry.functions.text import repair_text, token_estimate
 from docketry.operators.relational import first_per_group
+from docketry.runtime import head_table
 
 #: Rank constant and channel weights of the reciprocal-rank fusion (fixed values).
 RRF_K = 60
@@ -85,8 +86,11 @@ def exact_neighbours(rows: DataFrame, key: str, vector: str, query: Sequence[flo
 
 def hamming_then_exact(rows: DataFrame, key: str, vector: str, query: Sequence[float], k: int, coarse: int) -> DataFrame:
     """Candidates by the signs' Hamming distance, then the k best of them by cosine."""
-    near = rows.withColumn("distance", VX.hamming_to(query, F.col(vector))).filter("distance is not null")
-    return exact_neighbours(near.orderBy("distance", key).limit(coarse), key, vector, query, k)
+    near = rows.select(key, VX.hamming_to(query, F.col(vector)).alias("distance")).filter("distance is not null")
+    # the candidates' keys reach the scan as a filter, so that only their vectors are read again
+    picked = head_table(near.orderBy("distance", key), coarse)
+    there = rows.filter(F.col(key).isin([r[key] for r in picked.select(key).collect()])).join(F.broadcast(picked), key)
+    return exact_neighbours(there, key, vector, query, k)
 
 
 def fused(channels: dict[str, DataFrame], key: str, limit: int) -> DataFrame:
@@ -121,7 +125,7 @@ def gated(rows: DataFrame, overlap: Column, vector_only: Column, score: Column,
 
 def ranked(rows: DataFrame, key: str, score: str, limit: int) -> DataFrame:
     """(key, rank, score) of the best ``limit`` rows, ties by key."""
-    top = rows.select(key, F.col(score).cast("double").alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    top = head_table(rows.select(key, F.col(score).cast("double").alias("score")).orderBy(F.desc("score"), key), limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 

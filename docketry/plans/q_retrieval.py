@@ -12,6 +12,7 @@ from docketry.operators import graph as G
 from docketry.operators import relational as R
 from docketry.operators import retrieval as I
 from docketry.plans.book import Book, Tables
+from docketry.runtime import head_table
 
 book = Book()
 QUERIES, ORACLE = book.queries, book.oracle
@@ -30,12 +31,14 @@ def vectors_of(t: Tables) -> DataFrame:
 
 def query_vector(t: Tables) -> list[float]:
     """The vector asked with: one row, the usable one with the smallest id."""
+    rows = vectors_of(t).select("chunk_id", "embedding_vector").orderBy("chunk_id")
+    fine = lambda x: all(c is not None and c == c for c in x) and any(x)
+    # the smallest ids first; only where none of them is usable are all looked at
+    for r in rows.limit(64).collect():
+        if fine(r["embedding_vector"]):
+            return [float(x) for x in r["embedding_vector"]]
     v = F.col("embedding_vector")
-    fine = ~F.exists(v, lambda x: F.isnan(x)) & F.exists(v, lambda x: x != 0)
-    rows = vectors_of(t)
-    # the first usable of the smallest ids; only where none of these is usable are all looked at
-    some = rows.orderBy("chunk_id").limit(64).filter(fine).orderBy("chunk_id").select("embedding_vector").head(1) or rows.filter(fine).orderBy("chunk_id").select("embedding_vector").head(1)
-    return [float(x) for x in some[0][0]]
+    return [float(x) for x in rows.filter(~F.exists(v, lambda x: F.isnan(x)) & F.exists(v, lambda x: x != 0)).first()["embedding_vector"]]
 
 
 def near(t: Tables, *more: str) -> DataFrame:
@@ -43,10 +46,6 @@ def near(t: Tables, *more: str) -> DataFrame:
     return vectors_of(t).select("chunk_id", *more, VX.cosine_to(query_vector(t), F.col("embedding_vector")).alias("score")).filter("score is not null")
 
 
-def literal(q: list[float]):
-    return F.array(*[F.lit(x) for x in q])
-
-
 @book.add()
 def r01_postings(t: Tables) -> DataFrame:
     return I.postings(t.rag_chunks, "id", "text_content").select("term", "id", "tf")
@@ -123,7 +122,7 @@ def r11_newest_then_exact(t: Tables) -> DataFrame:
 @book.add(f"""WITH {Q_SQL}, {V_SQL}, a AS (SELECT chunk_id, round(list_cosine_similarity(x, q.v), 6) AS score FROM v, q ORDER BY score DESC, chunk_id LIMIT 96)
     SELECT c.id, c.title, a.score FROM a JOIN rag_chunks c ON c.id = a.chunk_id JOIN rag_chunk_embeddings e ON e.chunk_id = c.id AND e.content_hash = c.content_hash WHERE c.source_table = 'source_items' ORDER BY a.score DESC, c.id LIMIT 24""")
 def r12_top_then_join(t: Tables) -> DataFrame:
-    best = near(t, "content_hash").withColumnRenamed("content_hash", "made_of").orderBy(F.desc("score"), "chunk_id").limit(96)
+    best = head_table(near(t, "content_hash").withColumnRenamed("content_hash", "made_of").orderBy(F.desc("score"), "chunk_id"), 96)
     # 96 rows meet the wide table by a broadcast
     rows = t.rag_chunks.filter("source_table = 'source_items'").select("id", "title", "content_hash").join(F.broadcast(best.select(F.col("chunk_id").alias("id"), "score", "made_of")), "id")
     return rows.filter("content_hash = made_of").orderBy(F.desc("score"), "id").limit(24).select("id", "title", "score")

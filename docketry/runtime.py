@@ -54,3 +54,12 @@ def widen(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as there are cores, for costly passes over few files."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df._jdf.rdd().getNumPartitions() >= n else df.repartition(n)
+
+
+def head_table(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of an ordered ``df`` as a literal table.
+
+    A limit inside a plan sorts all rows; as the end of one it is a bounded heap
+    in each task. ``n`` must be small: the rows pass through the driver.
+    """
+    return df.sparkSession.createDataFrame(df.limit(n).collect(), df.schema)
