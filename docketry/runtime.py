@@ -59,7 +59,8 @@ def widen(df: DataFrame) -> DataFrame:
 def head_table(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows of an ordered ``df`` as a literal table.
 
-    A limit inside a plan sorts all rows; as the end of one it is a bounded heap
-    in each task. ``n`` must be small: the rows pass through the driver.
+    Below a Python function a limit becomes a sort of all rows; as the end of a
+    plan it is a bounded heap in each task. ``n`` must be small: the rows pass
+    through the driver.
     """
     return df.sparkSession.createDataFrame(df.limit(n).collect(), df.schema)
