@@ -107,12 +107,12 @@ def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All raw texts written into a few files, a line each, and these cut by byte ranges: pieces, characters, longest piece."""
+    """All raw texts written into files, a line each, and these cut by byte ranges: pieces, characters, longest piece."""
     import uuid
 
     folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
     texts = table(spark, sf_dir, "source_items").select(F.regexp_replace("raw_text", r"[\r\n]+", " ").alias("value")).filter("value is not null")
-    texts.coalesce(4).write.text(folder)
+    texts.write.text(folder)
     paths = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path").collect()]
     found = splitting.split_files(spark, [p.removeprefix("file:") for p in paths], 6000, 200, 1 << 20)
     ends = found.groupBy("path").agg(F.max(F.col("start") + F.col("length")).alias("n_chars"), F.max("length").alias("longest"), (F.max("chunk_index") + 1 == F.count(F.lit(1))).alias("whole"), (F.sum("length") - 200 * (F.count(F.lit(1)) - 1)).alias("n_summed"))
