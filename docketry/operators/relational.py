@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.runtime import spread
+
 
 def _columns(names: Sequence) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
@@ -147,6 +149,31 @@ def similar_sets(rows: DataFrame, key: str, item: str, least: float) -> DataFram
     return both.filter(F.col("common") >= (F.col("na") + F.col("nb") - F.col("common")) * least - 1e-9)
 
 
+def similar_keys(rows: DataFrame, key: str, item: str, least: float, digits: int, per: int = 1024) -> DataFrame:
+    """(a, b, similarity), a < b: the pairs of keys as in ``similar_sets``, where many keys may have equal sets.
+
+    Keys with equal sets are folded into one set, named by its least key; only
+    these are compared. Their keys are kept in lists of about ``per``, and pairs
+    of lists are spread over the tasks and written out there, so a set that most
+    keys have is no hot key and every row made is a row of the result. Exact;
+    the similarity is rounded to ``digits`` places after the comparison. Keys
+    with null items only have empty sets: 0 / 0, NaN, between any two of them.
+    """
+    sets = rows.select(F.col(key).alias("_key"), F.col(item).alias("_item")).filter("_key is not null").distinct()
+    own = sets.groupBy("_key").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+    folded = own.groupBy("_items").agg(F.min("_key").alias("_set"), F.count(F.lit(1)).alias("_keys"))
+    lists = own.join(folded, "_items").groupBy("_set", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_keys") / per)).alias("_part")).agg(F.sort_array(F.collect_list("_key")).alias("_list"))
+    met = similar_sets(folded.select("_set", F.explode("_items").alias("_item")), "_set", "_item", least).withColumn("_s", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
+    met = met.filter(F.col("_s") >= least).select("a", "b", F.round("_s", digits).alias("similarity")).unionByName(folded.filter("_keys > 1").select(F.col("_set").alias("a"), F.col("_set").alias("b"), F.when(F.size("_items") > 0, 1.0).otherwise(float("nan")).alias("similarity")))
+    x, y = (lists.select(F.col("_set").alias(n), F.col("_part").alias(f"_p{n}"), F.col("_list").alias(f"_l{n}")) for n in "ab")
+    both = met.join(x, "a").join(y, "b").filter("a < b or _pa <= _pb").select("similarity", F.expr("a = b and _pa = _pb").alias("_one"), "_la", "_lb")
+    # one key's partners as a list of their own: so many rows are made at a time, not those of two whole lists
+    one = spread(both).select("similarity", "_one", "_lb", F.explode("_la").alias("_x"))
+    one = one.select("similarity", "_x", F.when(F.col("_one"), F.filter("_lb", lambda y: y > F.col("_x"))).otherwise(F.col("_lb")).alias("_lb"))
+    out = one.select("similarity", "_x", F.explode("_lb").alias("_y"))
+    return out.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "similarity")
+
+
 def sharing_sets(left: DataFrame, right: DataFrame, left_key: str, right_key: str, item: str, least: int) -> DataFrame:
     """(left_key, right_key, common) of the pairs whose sets share at least ``least`` items.
 

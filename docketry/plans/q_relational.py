@@ -268,14 +268,9 @@ def j10_neighbour_window(t: Tables) -> DataFrame:
     SELECT a.user_id AS user_a, b.user_id AS user_b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM u a JOIN u b ON a.user_id < b.user_id
     WHERE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) >= 0.28""")
 def j11_pairwise_similarity(t: Tables) -> DataFrame:
-    # pairs meet through their shared features, never all with all
-    f = t.events.select("user_id", F.concat_ws(":", "event_type", F.floor(F.hour("ts") / 6).cast("string")).alias("g")).distinct()
-    sizes = f.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = f.select(F.col("user_id").alias("user_a"), "g"), f.select(F.col("user_id").alias("user_b"), "g")
-    both = a.join(b, "g").filter("user_a < user_b").groupBy("user_a", "user_b").agg(F.count(F.lit(1)).alias("c"))
-    both = both.join(sizes.select(F.col("user_id").alias("user_a"), F.col("n").alias("na")), "user_a").join(sizes.select(F.col("user_id").alias("user_b"), F.col("n").alias("nb")), "user_b")
-    s = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return both.filter(s >= 0.28).select("user_a", "user_b", F.round(s, 6).alias("similarity"))
+    # only distinct sets of features are compared; a missing type or time makes no feature
+    f = t.events.select("user_id", F.concat("event_type", F.lit(":"), F.floor(F.hour("ts") / 6).cast("string")).alias("g"))
+    return R.similar_keys(f, "user_id", "g", 0.28, 6).select(F.col("a").alias("user_a"), F.col("b").alias("user_b"), "similarity")
 
 
 @book.add("""WITH n AS (SELECT id, lower(trim(title)) AS t FROM canada_laws WHERE origin = 'official'), v AS (SELECT DISTINCT lower(trim(matched_alias)) AS t FROM canada_case_law_links WHERE trim(matched_alias) <> '')
