@@ -153,7 +153,7 @@ def similar_keys(rows: DataFrame, key: str, item: str, least: float, digits: int
     """(a, b, similarity), a < b: the pairs of keys as in ``similar_sets``, where many keys may have equal sets.
 
     Keys with equal sets are folded into one set, named by its least key; only
-    these are compared. Their keys are kept in lists of about ``per``, and pairs
+    these are compared, by counts of shared items. Their keys are kept in lists of about ``per``, and pairs
     of lists are spread over the tasks and written out there, so a set that most
     keys have is no hot key and every row made is a row of the result. Exact;
     the similarity is rounded to ``digits`` places after the comparison. Keys
@@ -163,7 +163,8 @@ def similar_keys(rows: DataFrame, key: str, item: str, least: float, digits: int
     own = sets.groupBy("_key").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     folded = own.groupBy("_items").agg(F.min("_key").alias("_set"), F.count(F.lit(1)).alias("_keys"))
     lists = own.join(folded, "_items").groupBy("_set", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_keys") / per)).alias("_part")).agg(F.sort_array(F.collect_list("_key")).alias("_list"))
-    met = similar_sets(folded.select("_set", F.explode("_items").alias("_item")), "_set", "_item", least).withColumn("_s", F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
+    a, b = (folded.select(F.explode("_items").alias("_item"), F.col("_set").alias(n), F.size("_items").alias(f"n{n}")) for n in "ab")
+    met = a.join(b, "_item").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("_c")).withColumn("_s", F.col("_c") / (F.col("na") + F.col("nb") - F.col("_c")))
     met = met.filter(F.col("_s") >= least).select("a", "b", F.round("_s", digits).alias("similarity")).unionByName(folded.filter("_keys > 1").select(F.col("_set").alias("a"), F.col("_set").alias("b"), F.when(F.size("_items") > 0, 1.0).otherwise(float("nan")).alias("similarity")))
     x, y = (lists.select(F.col("_set").alias(n), F.col("_part").alias(f"_p{n}"), F.col("_list").alias(f"_l{n}")) for n in "ab")
     both = met.join(x, "a").join(y, "b").filter("a < b or _pa <= _pb").select("similarity", F.expr("a = b and _pa = _pb").alias("_one"), "_la", "_lb")
